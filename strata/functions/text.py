@@ -15,6 +15,8 @@ from .. import constants as K
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 NON_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
+W = r"[\p{L}\p{N}_]"      # Python's \w on str
+D = r"\p{Nd}"              # Python's \d on str
 # sentence pieces: text up to and including one of . ! ? newline, or an unterminated tail
 SENTENCE_RE = r"(?d)[^.!?\n]*[.!?\n]|[^.!?\n]+$"
 
@@ -63,10 +65,10 @@ def clean_filename(c) -> Column:
     s = F.lower(_c(c))
     s = F.regexp_replace(s, r"(?i)\(pdf\)", "")
     s = F.regexp_replace(s, r"(?i)(?d)\.pdf$", "")
-    s = F.regexp_replace(s, r"(?U)\b\d{4}\b", "")
+    s = F.regexp_replace(s, rf"(?<!{W}){D}{{4}}(?!{W})", "")
     s = F.regexp_replace(s, rf"^(the|a|an){WS}+", "")
     s = F.regexp_replace(s, r"\([^)]*\)", "")
-    s = F.regexp_replace(s, r"(?U)[^\w\s\x1c-\x1f\x85\p{Z}]", " ")
+    s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", " ")
     s = collapse_ws(s)
     stop = F.array(*[F.lit(w) for w in K.NAME_STOP_WORDS])
     return F.array_join(F.filter(F.split(s, " "), lambda w: ~F.array_contains(stop, w)), " ")
@@ -76,11 +78,11 @@ def clean_content(c) -> Column:
     """Evidence-line cleaning: figure/table captions, parenthesised dates, trailing page
     numbers, number-only lines, then whitespace collapse and strip."""
     s = _c(c)
-    s = F.regexp_replace(s, r"(?U)(?d)Fig\.\s*\d+.*?\n", "")
-    s = F.regexp_replace(s, r"(?U)(?d)Table\s*\d+.*?\n", "")
-    s = F.regexp_replace(s, r"(?U)\(\w+\s+\d{1,2}\s+\w+\s+\d{4}\)", "")
-    s = F.regexp_replace(s, rf"(?U)(?d)\d+{WS}*$", "")
-    s = F.regexp_replace(s, rf"(?U)(?d)(?m)^{WS}*\d+{WS}*$", "")
+    s = F.regexp_replace(s, rf"(?d)Fig\.{WS}*{D}+.*?\n", "")
+    s = F.regexp_replace(s, rf"(?d)Table{WS}*{D}+.*?\n", "")
+    s = F.regexp_replace(s, rf"\({W}+{WS}+{D}{{1,2}}{WS}+{W}+{WS}+{D}{{4}}\)", "")
+    s = F.regexp_replace(s, rf"(?d){D}+{WS}*$", "")
+    s = F.regexp_replace(s, rf"(?d)(?m)^{WS}*{D}+{WS}*$", "")
     return collapse_ws(s)
 
 

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # map_concat in the evidence injection (JSN2) lets the injected key win.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # JSON objects with a repeated key are valid, the last value wins (as json.loads does).
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
