@@ -17,12 +17,12 @@ def bow(table: str, id_expr: str, text_expr: str, dim: int = DIM) -> str:
 
 
 def bow_knn(k: int, q_table: str = "benchmark", q_id: str = "item_id", q_text: str = "text",
-            d_filter: str = "TRUE") -> str:
+            d_filter: str = "TRUE", d_table: str = "documents", d_id: str = "doc_id", d_text: str = "text") -> str:
     """Exact top-k by cosine of hashed bags of words: every query against every document
     (brute force is fine for an oracle), ties by ascending doc id."""
     return f"""
     qv AS {bow(q_table, q_id, q_text)},
-    dv AS {bow(f"(SELECT * FROM documents WHERE {d_filter})", 'doc_id', 'text')},
+    dv AS {bow(f"(SELECT * FROM {d_table} WHERE {d_filter})", d_id, d_text)},
     qn AS (SELECT id, sum(cnt * cnt) AS n2 FROM qv GROUP BY id),
     dn AS (SELECT id, sum(cnt * cnt) AS n2 FROM dv GROUP BY id),
     dots AS (SELECT qv.id AS qid, dv.id AS did, sum(qv.cnt * dv.cnt) AS dot

@@ -73,6 +73,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/strata/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialize(spark: SparkSession, df_fn, name: str, key=None, partition_by: list | None = None):
+    """Write ``df_fn()`` once per session (and ``key``) as Parquet under the shared folder and
+    return a DataFrame reading it back. A written table cuts the lineage, so a lost executor
+    recomputes from the table, not from the whole upstream plan."""
+    k = (spark.sparkContext.applicationId, name, key)
+    if k not in _MATERIALIZED:
+        path = scratch_path(spark, name)
+        w = df_fn().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        _MATERIALIZED[k] = path
+    return spark.read.parquet(_MATERIALIZED[k])
+
+
 def local_path(p: str) -> str:
     """Strip a file: scheme for local filesystem checks in tests."""
     return p[len("file:"):] if p.startswith("file:") else p
