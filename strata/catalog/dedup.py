@@ -1,3 +1,119 @@
-"""Registered queries (dedup)."""
+"""Duplicate queries (AGG3, AGG4, WIN4, JOI4, DUP1, SET1, SET2, AGG7, JOI5).
+
+Documents play the source files: their text is the file content (exact pass) and their
+first sentence + year + '.pdf' the file name (name pass). The name pass runs at the
+reference threshold 0.85 (rows check + brute-force pytest, no SQL can express difflib) and,
+for the SQL-checked set operations, at threshold 1.0, where "similar" means an identical
+clean name.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import dedup as D
+from ..sources import tables as TB
+from ._registry import query, round_doubles
+from .text import FILE_NAME_SQL, clean_filename_sql, file_name_col
+
+EXACT_NAME_T = 1.0
+
+
+def files(spark, sf):
+    d = TB.table(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", "text", file_name_col().alias("file_name"))
+
+
+@query("exact_duplicate_groups", sql="""
+    SELECT sha256(text) AS content_hash, count(*)::BIGINT AS group_size, min(doc_id) AS first_id,
+           max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_duplicate_groups(spark, sf):
+    """AGG3: contents (SHA-256) held by more than one file."""
+    return D.exact_groups(files(spark, sf), "doc_id", "text")
+
+
+@query("keep_first_duplicate", sql="""
+    WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
+    g AS (SELECT content_hash, min(doc_id) AS keeper_id, count(*)::BIGINT AS group_size FROM h GROUP BY 1
+          HAVING count(*) > 1)
+    SELECT doc_id, content_hash, keeper_id, group_size, doc_id = keeper_id AS is_kept FROM h JOIN g USING (content_hash)""")
+def keep_first_duplicate(spark, sf):
+    """WIN4: every exact-duplicate member with its keeper (lowest id) and whether it is kept."""
+    return D.exact_members(files(spark, sf), "doc_id", "text")
+
+
+_NAMES_SQL = f"""
+    fn AS (SELECT doc_id, text, {FILE_NAME_SQL} AS file_name FROM documents),
+    cn AS (SELECT doc_id, text, {clean_filename_sql('file_name')} AS clean FROM fn),
+    nm AS (SELECT doc_id, clean, min(doc_id) OVER (PARTITION BY clean) AS leader_id FROM cn
+           WHERE regexp_replace(clean, '^\\s+|\\s+$', '', 'g') <> ''),
+    sim AS (SELECT doc_id FROM nm WHERE doc_id <> leader_id),
+    ex AS (SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS k FROM documents)
+           WHERE doc_id <> k)"""
+
+
+@query("name_duplicate_groups", sql=f"WITH {_NAMES_SQL} SELECT doc_id, leader_id FROM nm WHERE doc_id <> leader_id")
+def name_duplicate_groups(spark, sf):
+    """DUP1 at threshold 1.0: files whose clean name repeats an earlier file's, with the
+    leader they follow."""
+    return D.fuzzy_groups(files(spark, sf), "doc_id", "file_name", EXACT_NAME_T).withColumnRenamed("leader_id", "leader_id")
+
+
+@query("fuzzy_name_pairs")
+def fuzzy_name_pairs(spark, sf):
+    """JOI4: distinct clean names (by first file id a < b) whose ratio, earlier name first,
+    reaches 0.85; candidates from the lossless bigram prefix filter, never all pairs."""
+    return round_doubles(D.similar_name_pairs(files(spark, sf), "doc_id", "file_name", K.FUZZY_THRESHOLD))
+
+
+@query("fuzzy_duplicate_groups")
+def fuzzy_duplicate_groups(spark, sf):
+    """DUP1: greedy leader clustering of file names at 0.85: (doc_id, leader_id) per
+    removed file."""
+    return D.fuzzy_groups(files(spark, sf), "doc_id", "file_name", K.FUZZY_THRESHOLD)
+
+
+@query("duplicate_totals", sql=f"""WITH {_NAMES_SQL}
+    SELECT (SELECT count(*) FROM ex)::BIGINT AS exact_extra, (SELECT count(*) FROM sim)::BIGINT AS similar_followers,
+           ((SELECT count(*) FROM ex) + (SELECT count(*) FROM sim))::BIGINT AS total""")
+def duplicate_totals(spark, sf):
+    """AGG4: reported total = sum(group size - 1) over exact groups + similar followers
+    (a file in both counts twice); names compared at threshold 1.0."""
+    f = files(spark, sf)
+    ex = D.exact_groups(f, "doc_id", "text").agg(F.sum(F.col("group_size") - 1).cast("bigint").alias("v"))
+    sim = D.fuzzy_groups(f, "doc_id", "file_name", EXACT_NAME_T).agg(F.count(F.lit(1)).alias("v"))
+    both = ex.select(F.lit(1).alias("k"), F.coalesce("v", F.lit(0)).cast("bigint").alias("exact_extra")).join(
+        sim.select(F.lit(1).alias("k"), F.col("v").cast("bigint").alias("similar_followers")), "k")
+    return both.select("exact_extra", "similar_followers",
+                       (F.col("exact_extra") + F.col("similar_followers")).alias("total"))
+
+
+@query("removal_summary", sql=f"""WITH {_NAMES_SQL}
+    SELECT (SELECT count(*) FROM (SELECT doc_id FROM ex UNION SELECT doc_id FROM sim))::BIGINT AS removed,
+           (SELECT count(*) FROM (SELECT doc_id FROM ex INTERSECT SELECT doc_id FROM sim))::BIGINT AS skipped""")
+def removal_summary(spark, sf):
+    """AGG7/SET1/SET2: files removed (exact UNION similar) and removal attempts that found
+    the file already gone (exact INTERSECT similar); names at threshold 1.0."""
+    f = files(spark, sf)
+    return D.removal_sets(D.exact_removed(f, "doc_id", "text"),
+                          D.fuzzy_groups(f, "doc_id", "file_name", EXACT_NAME_T), "doc_id")
+
+
+@query("removal_summary_fuzzy")
+def removal_summary_fuzzy(spark, sf):
+    """AGG7 with the name pass at the reference threshold 0.85 (rows check)."""
+    f = files(spark, sf)
+    return D.removal_sets(D.exact_removed(f, "doc_id", "text"),
+                          D.fuzzy_groups(f, "doc_id", "file_name", K.FUZZY_THRESHOLD), "doc_id")
+
+
+@query("dedup_survivors", sql=f"""WITH {_NAMES_SQL}
+    SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ex UNION SELECT doc_id FROM sim)""")
+def dedup_survivors(spark, sf):
+    """JOI5: the files kept after both passes (anti join against the removal set)."""
+    f = files(spark, sf)
+    removed = D.exact_removed(f, "doc_id", "text").unionByName(
+        D.fuzzy_groups(f, "doc_id", "file_name", EXACT_NAME_T).select("doc_id"))
+    d = TB.table(spark, sf, "documents").select("doc_id", "source")
+    return D.survivors(d, removed, "doc_id")
