@@ -1,3 +1,130 @@
-"""Registered queries (storage)."""
+"""Store, state and file queries (SRC2-SRC5, SNK1, SNK3, SNK4, JOI3, FLT2)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import chunk as CH
+from ..operators import store as ST
+from ..schemas import MESSAGE, STORE_DOCUMENTS
+from ..session import scratch_path
+from ..sinks import files as SK
+from ..sources import files as SF
+from ..sources import tables as TB
+from . import sqlkit as Q
+from ._registry import query
+from .answers import LAST_N
+from .text import _CHUNKS_SQL, MAX_CHUNK, OVERLAP
+
+
+def chunk_store_rows(spark, sf):
+    """Documents as the chunks an ingest receives: source file '<source>/<doc_id>.pdf'."""
+    d = TB.table(spark, sf, "documents")
+    c = CH.sentence_chunks(d, "text", MAX_CHUNK, OVERLAP, keep=("doc_id", "source", "lang"))
+    c = c.withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return ST.chunk_rows(c)
+
+
+_INGEST_SQL = f"""WITH {_CHUNKS_SQL}
+    SELECT sha256(concat_ws(chr(31), src, '{K.DEFAULT_SUMMARY_TYPE}', '', chunk_no::VARCHAR, chunk)) AS id,
+           chunk AS content, src AS source, '{K.DEFAULT_SUMMARY_TYPE}' AS embedding_type, '' AS prompt
+    FROM (SELECT *, source || '/' || doc_id::VARCHAR || '.pdf' AS src FROM chunks)
+    WHERE {Q.strip('chunk')} <> ''"""
+
+
+@query("ingest_documents", sql=_INGEST_SQL)
+def ingest_documents(spark, sf):
+    """SNK1: every document's chunks ingested into a fresh store (documents + vectors) and
+    ingested again: deterministic ids and anti-join guarded appends keep one copy."""
+    root = scratch_path(spark, "store")
+    rows = chunk_store_rows(spark, sf)
+    ST.ingest(spark, root, rows)
+    ST.ingest(spark, root, rows)  # a retried run: adds nothing
+    return ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
+
+
+@query("store_load", sql="""
+    SELECT doc_id AS id, source, lang AS embedding_type, '' AS prompt, length(text)::INTEGER AS content_chars
+    FROM documents""")
+def store_load(spark, sf):
+    """SRC5: the document store read with its fixed schema (content length shown)."""
+    d = TB.store_documents(spark, sf)
+    return d.select("id", "source", "embedding_type", "prompt", F.length("content").alias("content_chars"))
+
+
+@query("pending_sources", sql="""
+    SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def pending_sources(spark, sf):
+    """JOI3: sources not processed yet (labelled documents count as processed)."""
+    d = TB.table(spark, sf, "documents").select("doc_id", "source")
+    return ST.pending(d, TB.table(spark, sf, "labels"), "doc_id", retry_failed=False)
+
+
+@query("progress_upsert", sql=f"""WITH {_CHUNKS_SQL},
+    old AS (SELECT d.source, count(*)::BIGINT AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1),
+    upd AS (SELECT source, count(*)::BIGINT AS n FROM chunks WHERE lang = 'en' GROUP BY 1)
+    SELECT source, n AS chunks_processed FROM upd
+    UNION ALL SELECT source, n FROM old WHERE source NOT IN (SELECT source FROM upd)""")
+def progress_upsert(spark, sf):
+    """SNK3/SRC6: progress per source. The first state counts labelled documents; an
+    update with the English chunk counts replaces those sources (last write wins)."""
+    root = scratch_path(spark, "progress")
+    d = TB.table(spark, sf, "documents")
+    old = d.join(TB.table(spark, sf, "labels"), "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("chunks_processed"))
+    ST.upsert_progress(spark, root, old)
+    en = CH.sentence_chunks(d.where(F.col("lang") == "en"), "text", MAX_CHUNK, OVERLAP, keep=("source",))
+    ST.upsert_progress(spark, root, en.groupBy("source").agg(F.count(F.lit(1)).alias("chunks_processed")))
+    return ST.read_progress(spark, root)
+
+
+@query("history_append", sql=f"""
+    SELECT conv_id, turn, role, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+    WHERE rn <= {LAST_N}""")
+def history_append(spark, sf):
+    """SNK4: each conversation's earlier turns saved as history, its latest turn appended,
+    history trimmed to the last 3 messages per conversation."""
+    root = scratch_path(spark, "history")
+    c = TB.table(spark, sf, "conversations").select(*[f.name for f in MESSAGE.fields])
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    newest = c.join(last, ["conv_id", "turn"])
+    earlier = c.join(last, ["conv_id", "turn"], "left_anti")
+    ST.append_history(spark, root, earlier, MESSAGE, LAST_N)
+    ST.append_history(spark, root, newest, MESSAGE, LAST_N)
+    return ST.read_state(spark, root, MESSAGE)
+
+
+@query("raw_line_scan", sql=f"""
+    SELECT source, {Q.strip('line')} AS content FROM (
+        SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE {Q.strip('line')} <> ''""")
+def raw_line_scan(spark, sf):
+    """SRC2/FLT2: documents written as one text directory per source, read back as
+    non-blank stripped lines with their source."""
+    path = scratch_path(spark, "raw-text")
+    d = TB.table(spark, sf, "documents")
+    SK.write_lines_by(d, path, "text", "source")
+    return SF.read_raw_lines(spark, path, glob="*.txt", partition_col="source").select("source", "content")
+
+
+@query("source_file_listing")
+def source_file_listing(spark, sf):
+    """SRC3: the table files of the input directory with their sizes (metadata only: the
+    binary content column is pruned, never read)."""
+    return SF.list_files(spark, sf, "*.parquet").select("name", "length")
+
+
+@query("source_file_validity", sql=f"""
+    SELECT doc_id, n_chars AS length,
+           n_chars BETWEEN {K.MIN_FILE_BYTES} AND {K.MAX_FILE_BYTES} AS valid,
+           CASE WHEN n_chars IS NULL THEN 'missing' WHEN n_chars > {K.MAX_FILE_BYTES} THEN 'too_large'
+                WHEN n_chars < {K.MIN_FILE_BYTES} THEN 'too_small' END AS reason
+    FROM documents""")
+def source_file_validity(spark, sf):
+    """SRC4: the size gate (0.001 MB to 100 MB) with a reason per rejected file; document
+    length plays the file size."""
+    d = TB.table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("length"))
+    valid, reason = SF.size_gate("length")
+    return d.select("doc_id", "length", valid, reason)

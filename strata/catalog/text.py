@@ -19,11 +19,11 @@ OVERLAP = 20          # validated, no effect
 _STRIP = Q.strip
 
 _CHUNKS_SQL = f"""
-    s AS (SELECT doc_id, source, {Q.sentences("coalesce(text, '')")} AS sents FROM documents),
-    p AS (SELECT doc_id, source, flatten(list_transform(sents, lambda x: CASE WHEN length(x) > {MAX_CHUNK}
+    s AS (SELECT doc_id, source, lang, {Q.sentences("coalesce(text, '')")} AS sents FROM documents),
+    p AS (SELECT doc_id, source, lang, flatten(list_transform(sents, lambda x: CASE WHEN length(x) > {MAX_CHUNK}
               THEN list_transform(range(0, length(x), {MAX_CHUNK}), lambda i: {_STRIP(f"substr(x, i + 1, {MAX_CHUNK})")})
               ELSE [x] END)) AS pieces FROM s),
-    chunks AS (SELECT doc_id, source, unnest(range(0, len(pieces))) AS chunk_no, unnest(pieces) AS chunk FROM p)"""
+    chunks AS (SELECT doc_id, source, lang, unnest(range(0, len(pieces))) AS chunk_no, unnest(pieces) AS chunk FROM p)"""
 
 
 @query("sentence_chunks", sql=f"""WITH {_CHUNKS_SQL}
