@@ -96,7 +96,9 @@ def envelopes(documents: DataFrame) -> DataFrame:
     """(source, doc_id, line): one JSON envelope line per document."""
     meta = F.struct(source_file_col().alias("source_file"), F.lit(PROCESSED_AT).alias("processed_at"),
                     F.lit(SUMMARY_TYPE).alias("summary_type"))
-    env = F.to_json(F.struct(F.to_json(paper_struct()).alias("content"), meta.alias("metadata")))
+    # explicit nulls in the record (an extractor writes null for unknown values)
+    content = F.to_json(paper_struct(), {"ignoreNullFields": "false"})
+    env = F.to_json(F.struct(content.alias("content"), meta.alias("metadata")))
     d = documents.select("source", "doc_id", "lang", "n_chars", TX.sentences("text").alias("_s"))
     d = d.withColumn("_title", F.coalesce(F.element_at("_s", 1), F.lit("")))
     return d.select("source", "doc_id", env.alias("line"))
