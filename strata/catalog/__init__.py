@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ._registry import REGISTRY, Query, query  # noqa: F401
-from . import retrieval, text, extraction, answers, dedup, storage, reports  # noqa: F401,E402
+from . import retrieval, text, extraction, answers, dedup, storage, reports, streams  # noqa: F401,E402
 
 
 def queries() -> dict[str, Callable]:
