@@ -30,6 +30,7 @@ threshold. It is computed without comparing all pairs:
 from __future__ import annotations
 
 import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -96,13 +97,37 @@ def overlap_floor(n, t: float):
     return 3 * m_min(total, t) - total - 1
 
 
+_COUNTS: dict = {}
+_COUNTS_CAP = 200_000
+
+
+def _char_counts(s: str):
+    c = _COUNTS.get(s)
+    if c is None:
+        if len(_COUNTS) >= _COUNTS_CAP:
+            _COUNTS.clear()
+        c = _COUNTS[s] = Counter(s)
+    return c
+
+
 def ratio_at_least(a: str, b: str, t: float):
-    """difflib's ratio (a first) when it reaches t, else None. Its two cheap upper bounds
-    (length, character multiset) are tried first; they never reject a passing pair."""
-    m = SequenceMatcher(None, a, b)
-    if m.real_quick_ratio() < t or m.quick_ratio() < t:
+    """difflib's ratio (a first) when it reaches t, else None.
+
+    Two exact upper bounds go first: the length bound and the character-multiset bound
+    (matching characters cannot exceed the multiset intersection; it is the quantity behind
+    ``quick_ratio``), computed from per-name counts cached across rows. Only pairs passing
+    both build a SequenceMatcher."""
+    la, lb = len(a), len(b)
+    n = la + lb
+    if n == 0 or 2.0 * min(la, lb) / n < t:
+        return None
+    ca, cb = _char_counts(a), _char_counts(b)
+    if len(ca) > len(cb):
+        ca, cb = cb, ca
+    inter = sum(min(v, cb.get(k, 0)) for k, v in ca.items())
+    if 2.0 * inter / n < t:
         return None
-    r = m.ratio()
+    r = SequenceMatcher(None, a, b).ratio()
     return r if r >= t else None
 
 

@@ -35,22 +35,33 @@ def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
+_BUCKETS: dict = {}          # token -> bucket, kept across batches in a reused Python worker
+_BUCKETS_CAP = 2_000_000
+_RX = None
+
+
 def encode_texts(texts, dim: int = DEFAULT_DIM) -> list:
-    """Plain-Python reference of the encoder (also used inside the UDF)."""
-    rx = _token_re()
-    cache: dict[str, int] = {}
+    """Plain-Python reference of the encoder (also the body of the UDF): per text, the
+    buckets of its tokens counted with ``np.bincount``."""
+    global _RX
+    if _RX is None:
+        _RX = _token_re()
+    findall = _RX.findall
+    cache = _BUCKETS
+    if len(cache) > _BUCKETS_CAP:
+        cache.clear()
     out = []
     for t in texts:
         if t is None:
             out.append(None)
             continue
-        v = np.zeros(dim, dtype=np.float64)
-        for tok in rx.findall(t.lower()):
-            b = cache.get(tok)
+        bs = []
+        for tok in findall(t.lower()):
+            b = cache.get((tok, dim))
             if b is None:
-                b = cache[tok] = token_bucket(tok, dim)
-            v[b] += 1.0
-        out.append(v)
+                b = cache[(tok, dim)] = token_bucket(tok, dim)
+            bs.append(b)
+        out.append(np.bincount(np.asarray(bs, dtype=np.int64), minlength=dim).astype(np.float64))
     return out
 
 

@@ -117,13 +117,13 @@ def locations(p: DataFrame) -> DataFrame:
 def evidence_rows(p: DataFrame) -> DataFrame:
     """Findings, methods and relationships as store rows: (source_file, embedding_type,
     ordinal, content = the item as JSON, text = its sentence). These are the three types
-    the context assembly groups by."""
-    f = _explode(p, "paper.findings").select("source_file", F.lit("finding").alias("embedding_type"), "ordinal",
-                                              F.to_json("e").alias("content"), F.col("e.statement").alias("text"))
-    m = _explode(p, "paper.study.methods").select("source_file", F.lit("methodology").alias("embedding_type"),
-                                                  "ordinal", F.to_json("e").alias("content"),
-                                                  F.col("e.description").alias("text"))
-    r = _explode(p, "paper.relationships").select("source_file", F.lit("relationship").alias("embedding_type"),
-                                                  "ordinal", F.to_json("e").alias("content"),
-                                                  F.col("e.description").alias("text"))
-    return f.unionByName(m).unionByName(r)
+    the context assembly groups by. One parse and one explode per paper: the three arrays
+    are turned into one array of a common struct first."""
+    def items(arr: str, kind: str, text_field: str):
+        return F.transform(F.coalesce(F.col(arr), F.array()), lambda e, i: F.struct(
+            F.lit(kind).alias("embedding_type"), (i + 1).cast("int").alias("ordinal"),
+            F.to_json(e).alias("content"), e[text_field].alias("text")))
+    allv = F.concat(items("paper.findings", "finding", "statement"),
+                    items("paper.study.methods", "methodology", "description"),
+                    items("paper.relationships", "relationship", "description"))
+    return p.select("source_file", F.inline(allv))
