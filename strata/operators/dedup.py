@@ -13,9 +13,9 @@ threshold. It is computed without comparing all pairs:
 1. Identical clean names are one node (ratio 1.0): every later copy follows the same leader
    as the first copy, so only distinct names are compared.
 2. Candidate pairs come from a lossless prefix filter on character bigrams. If the ratio
-   passes, M >= Mmin = ceil(t*L/2) with L = len_a + len_b; matching blocks are in-order
-   common substrings, at most U+1 = L-2M+1 of them, so the two bigram multisets share at
-   least 3M - L - 1 bigrams. With bigrams numbered per occurrence and ordered by global
+   passes, M >= t*L/2 with L = len_a + len_b; matching blocks are in-order common
+   substrings, at most U+1 = L-2M+1 of them, so the two bigram multisets share at least
+   3M - L - 1 >= (1.5t - 1)L - 1 bigrams. With bigrams numbered per occurrence and ordered by global
    rarity, two multisets that share T elements share one among each's first |X|-T+1
    (AllPairs / PPJoin). T is taken at the shortest partner length the length bound allows,
    so it is a lower bound for every partner. Prefix tokens are joined on equality.
@@ -91,10 +91,16 @@ def shortest_partner(n, t: float):
 
 
 def overlap_floor(n, t: float):
-    """Shared-bigram lower bound for a name of length n against any admissible partner."""
+    """Shared-bigram lower bound for a name of length n against any admissible partner.
+
+    A passing pair has 3M - L - 1 >= (1.5t - 1)L - 1 shared bigrams with M >= tL/2. The
+    continuous form is used on purpose: it grows with L, so its value at the shortest
+    admissible partner bounds every partner (the ceiled form ceil(tL/2) is not monotone in
+    L and would overstate the floor)."""
     lo = shortest_partner(n, t)
-    total = n + lo
-    return 3 * m_min(total, t) - total - 1
+    if isinstance(n, int):
+        return math.ceil((1.5 * t - 1.0) * (n + lo) - 1.0 - EPS)
+    return F.ceil(F.lit(1.5 * t - 1.0) * (n + lo) - F.lit(1.0 + EPS))
 
 
 _COUNTS: dict = {}

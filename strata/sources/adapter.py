@@ -51,7 +51,7 @@ def paper_struct() -> Column:
 
     cyc = lambda e: F.pmod(F.floor(e["i"] / 3).cast("int"), F.lit(3))
     methods = F.transform(of_kind(1), lambda e: F.struct(
-        F.element_at(TX.words(e["x"]), 1).alias("name"),
+        F.try_element_at(TX.words(e["x"]), F.lit(1)).alias("name"),
         _pick(K.METHOD_TYPES, F.pmod(e["i"], F.lit(4))).alias("type"),
         e["x"].alias("description"),
         F.array(F.col("lang")).alias("tools")))
@@ -100,5 +100,5 @@ def envelopes(documents: DataFrame) -> DataFrame:
     content = F.to_json(paper_struct(), {"ignoreNullFields": "false"})
     env = F.to_json(F.struct(content.alias("content"), meta.alias("metadata")))
     d = documents.select("source", "doc_id", "lang", "n_chars", TX.sentences("text").alias("_s"))
-    d = d.withColumn("_title", F.coalesce(F.element_at("_s", 1), F.lit("")))
+    d = d.withColumn("_title", F.coalesce(F.try_element_at("_s", F.lit(1)), F.lit("")))
     return d.select("source", "doc_id", env.alias("line"))
