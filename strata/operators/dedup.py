@@ -107,47 +107,66 @@ _COUNTS: dict = {}
 _COUNTS_CAP = 200_000
 
 
-def _char_counts(s: str):
+def _counts(s: str):
+    """Counts of the name's characters and of its 2-, 3- and 4-grams, cached across rows of
+    a Python worker."""
     c = _COUNTS.get(s)
     if c is None:
         if len(_COUNTS) >= _COUNTS_CAP:
             _COUNTS.clear()
-        c = _COUNTS[s] = Counter(s)
+        c = _COUNTS[s] = tuple(Counter(s[i:i + q] for i in range(len(s) - q + 1)) for q in (1, 2, 3, 4))
     return c
 
 
+def _overlap(x: Counter, y: Counter) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(min(v, y.get(k, 0)) for k, v in x.items())
+
+
 def ratio_at_least(a: str, b: str, t: float):
     """difflib's ratio (a first) when it reaches t, else None.
 
-    Two exact upper bounds go first: the length bound and the character-multiset bound
-    (matching characters cannot exceed the multiset intersection; it is the quantity behind
-    ``quick_ratio``), computed from per-name counts cached across rows. Only pairs passing
-    both build a SequenceMatcher."""
+    Exact upper bounds on the matching characters M go first, each compared with the same
+    2.0*M/L arithmetic difflib uses: M <= min(len); M <= the character-multiset
+    intersection (the quantity behind quick_ratio); and, for q = 2, 3, 4,
+    M <= (O_q + (q-1)(L+1)) // (2q-1) with O_q the q-gram multiset intersection: matching
+    blocks are in-order common substrings, at most L - 2M + 1 of them, and a block of n
+    characters holds n-q+1 common q-grams, so O_q >= (2q-1)M - (q-1)(L+1). Only pairs
+    passing every bound build a SequenceMatcher."""
     la, lb = len(a), len(b)
     n = la + lb
     if n == 0 or 2.0 * min(la, lb) / n < t:
         return None
-    ca, cb = _char_counts(a), _char_counts(b)
-    if len(ca) > len(cb):
-        ca, cb = cb, ca
-    inter = sum(min(v, cb.get(k, 0)) for k, v in ca.items())
-    if 2.0 * inter / n < t:
+    ca, cb = _counts(a), _counts(b)
+    if 2.0 * _overlap(ca[0], cb[0]) / n < t:
         return None
+    for q in (4, 3, 2):
+        if 2.0 * ((_overlap(ca[q - 1], cb[q - 1]) + (q - 1) * (n + 1)) // (2 * q - 1)) / n < t:
+            return None
     r = SequenceMatcher(None, a, b).ratio()
     return r if r >= t else None
 
 
 def name_ratio(t: float):
+    """Arrow-batched ratio UDF. Marked non-deterministic only so that Catalyst does not
+    copy the filter on its result below the projection, which would run difflib twice."""
     @F.pandas_udf(T.DoubleType())
     def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio_at_least(x, y, t) for x, y in zip(a, b)], dtype="float64")
-    return _ratio
+    return _ratio.asNondeterministic()
+
+
+def clean_names(docs: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """(id, clean): non-blank clean names of the files."""
+    return docs.select(F.col(id_col).alias("id"), TX.clean_filename(name_col).alias("clean")) \
+               .where(~TX.is_blank("clean"))
 
 
-def distinct_names(docs: DataFrame, id_col: str, name_col: str) -> DataFrame:
+def distinct_names(docs: DataFrame, id_col: str, name_col: str, cleaned: DataFrame | None = None) -> DataFrame:
     """(clean, rep, n): non-blank clean names, each with its first id and multiplicity."""
-    c = docs.select(id_col, TX.clean_filename(name_col).alias("clean")).where(~TX.is_blank("clean"))
-    return c.groupBy("clean").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
+    c = cleaned if cleaned is not None else clean_names(docs, id_col, name_col)
+    return c.groupBy("clean").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
 def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
@@ -164,7 +183,13 @@ def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
         "r", F.row_number().over(Window.partitionBy("rep").orderBy("freq", "token")))
     floor_ = overlap_floor(F.col("len"), t)
     plen = F.when(floor_ <= 0, F.col("len") - 1).otherwise(F.col("len") - 1 - floor_ + 1)
-    prefix = ranked.where(F.col("r") <= plen).select("rep", "len", "token")
+    shared_dir(names.sparkSession)
+    # per name: its prefix length and the global-order key of its last prefix token
+    key = F.struct("freq", "token")
+    pre = ranked.where(F.col("r") <= plen)
+    last = pre.groupBy("rep").agg(F.max(key).alias("lastkey"), F.count(F.lit(1)).alias("plen"))
+    # read by both sides of the self-join: computed once
+    prefix = pre.select("rep", "len", "token").checkpoint()
     # Length band as part of the join key: with r = (2-t)/t, a partner of a name of length l
     # has length in [l, l*r] (taking the shorter name first), so it lies in the same or the
     # next geometric bucket. The shorter side is emitted into both buckets, the longer into
@@ -178,11 +203,24 @@ def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
     b = prefix.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), "token", bucket.alias("bk"))
     cond = ((a["token"] == b["token"]) & (a["bk"] == b["bk"]) & (a["ra"] != b["rb"]) & (a["la"] <= b["lb"])
             & (F.lit(2.0) * a["la"] / (a["la"] + b["lb"]) >= F.lit(t)))
-    pairs = (a.join(b, cond)
-              .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
-                      F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-                      F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
-              .distinct())
+    # shared prefix tokens per pair: a plain count (partial aggregation map-side); the
+    # per-name facts are attached afterwards from the one-row-per-name table
+    shared = a.join(b, cond).groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("c"))
+    info = n.select("rep", "len").join(last, "rep")
+    ia = info.select(F.col("rep").alias("ra"), F.col("len").alias("la"), F.col("lastkey").alias("ka"),
+                     F.col("plen").alias("pa"))
+    ib = info.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), F.col("lastkey").alias("kb"),
+                     F.col("plen").alias("pb"))
+    shared = shared.join(ia, "ra").join(ib, "rb")
+    # Positional bound: shared tokens of the name whose prefix ends first in the global order
+    # all lie in both prefixes, except those in its suffix; so overlap <= c + that suffix.
+    suffix = F.when(F.col("ka") <= F.col("kb"), F.col("la") - 1 - F.col("pa")).otherwise(F.col("lb") - 1 - F.col("pb"))
+    need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0 + EPS))
+    pairs = (shared.where(F.col("c") + suffix >= need)
+                   .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
+                           F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
+                           F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
+                   .distinct())
 
     # names whose bound gives no guarantee (very short) are paired by length band instead
     short = n.where(overlap_floor(F.col("len"), t) <= 0)
@@ -209,7 +247,9 @@ def similar_name_pairs(docs: DataFrame, id_col: str, name_col: str, t: float = K
     """JOI4: (a, b, ratio) for distinct clean names (by first id, a < b) with ratio >= t,
     the ratio taken with the earlier name first. Distinct names never reach 1.0, so for
     t >= 1 there is nothing to compare."""
-    names = names if names is not None else distinct_names(docs, id_col, name_col)
+    if names is None:
+        shared_dir(docs.sparkSession)
+        names = distinct_names(docs, id_col, name_col).checkpoint()
     if t >= 1.0:
         schema = "a long, b long, ratio double"
         return names.sparkSession.createDataFrame([], schema)
@@ -255,17 +295,16 @@ def fuzzy_groups(docs: DataFrame, id_col: str, name_col: str, t: float = K.FUZZY
     """DUP1: (id, leader_id) for every file the name pass removes (followers only)."""
     spark = docs.sparkSession
     shared_dir(spark)
-    # both are read by every leader round: cut their lineage once (checkpoint to the
-    # shared folder), so rounds never recompute names or candidate pairs
-    names = distinct_names(docs, id_col, name_col).checkpoint()
+    # cleaned names, distinct names and edges are each read several times (and by every
+    # leader round): cut their lineage once by checkpointing to the shared folder
+    cleaned = clean_names(docs, id_col, name_col).checkpoint()
+    names = distinct_names(docs, id_col, name_col, cleaned).checkpoint()
     edges = similar_name_pairs(docs, id_col, name_col, t, names=names).select("a", "b").checkpoint()
     lead = resolve_leaders(names.select("rep"), edges)
     name_leader = names.join(lead, "rep").select("clean", "leader")
-    d = docs.select(id_col, TX.clean_filename(name_col).alias("clean")).where(~TX.is_blank("clean"))
-    d = d.join(name_leader, "clean")
     # the first copy of a leading name leads; every other file follows its name's leader
-    return (d.where(F.col(id_col) != F.col("leader"))
-             .select(id_col, F.col("leader").alias("leader_id")))
+    return (cleaned.join(name_leader, "clean").where(F.col("id") != F.col("leader"))
+                   .select(F.col("id").alias(id_col), F.col("leader").alias("leader_id")))
 
 
 def removal_sets(exact_ids: DataFrame, similar_ids: DataFrame, id_col: str) -> DataFrame:

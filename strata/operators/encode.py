@@ -93,10 +93,15 @@ def encode(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int =
 
 def sparse_terms(df: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
     """Non-zero entries of a count vector as rows (id, bucket, count, weight) where weight is
-    the entry of the unit vector."""
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x * x))
-    return (df.select(id_col, F.posexplode(vec_col).alias("bucket", "count"), norm.alias("_norm"))
-              .where(F.col("count") > 0)
-              .select(id_col, F.col("bucket").cast("int").alias("bucket"),
-                      F.col("count").cast("long").alias("count"),
-                      (F.col("count") / F.col("_norm")).alias("weight")))
+    the entry of the unit vector.
+
+    The unit vector is built once per row and zipped with the counts before exploding, so
+    the norm is not recomputed per entry. ``posexplode_outer`` + a count filter (rather than
+    ``posexplode``) keeps Catalyst from inferring a size filter on the encoder's output that
+    it would push below an exchange, evaluating the encoder twice."""
+    from ..functions.vectors import l2_normalize
+    pairs = F.arrays_zip(F.col(vec_col).alias("c"), l2_normalize(vec_col).alias("w"))
+    x = df.select(id_col, F.posexplode_outer(pairs).alias("bucket", "e"))
+    return (x.where(F.col("e.c") > 0)
+             .select(id_col, F.col("bucket").cast("int").alias("bucket"), F.col("e.c").cast("long").alias("count"),
+                     F.col("e.w").alias("weight")))
