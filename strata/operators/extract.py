@@ -51,6 +51,7 @@ def envelope_columns(raw: DataFrame) -> DataFrame:
         F.col("metadata.processed_at").alias("processed_at"),
         F.coalesce(F.col("metadata.summary_type"), F.lit(K.DEFAULT_SUMMARY_TYPE)).alias("summary_type"),
         F.coalesce(F.col("metadata.prompt"), F.lit(K.DEFAULT_PROMPT)).alias("prompt"),
+        F.col("_corrupt"),
         F.col("_corrupt").isNull().alias("_line_ok"))
     return out.withColumn("valid", F.col("_line_ok") & J.is_valid_json("content")).drop("_line_ok")
 
