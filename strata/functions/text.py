@@ -2,8 +2,8 @@
 
 Python's ``str.strip``/``split`` and ``re`` classes are Unicode-aware, Spark's ``trim`` is
 not, so whitespace here is the class ``WS`` (Java ``\\s`` plus the extra code points Python
-treats as space). Patterns use ``(?U)`` where Python's ``\\w``/``\\d``/``\\b`` are meant and
-``(?d)`` so that only ``\\n`` ends a line, as in Python.
+treats as space). Python's ``\\w`` and ``\\d`` on str are spelled ``W``/``D`` below, ``\\b`` as lookarounds on
+``W``, and ``(?d)`` makes only ``\\n`` end a line, as in Python.
 """
 
 from __future__ import annotations
@@ -30,6 +30,14 @@ def ustrip(c) -> Column:
     return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
 
 
+def ustrip_long(c) -> Column:
+    """``ustrip`` for a long text held in a column: the edge characters are tested first, so
+    a text without edge whitespace skips the full regex scan."""
+    x = _c(c)
+    edge = F.substring(x, 1, 1).rlike(f"^{WS}$") | F.right(x, F.lit(1)).rlike(f"^{WS}$")
+    return F.when(edge, ustrip(x)).otherwise(x)
+
+
 def words(c) -> Column:
     """Python ``str.split()``: whitespace-separated tokens (empty array for blank text)."""
     return F.regexp_extract_all(_c(c), F.lit(f"{NON_WS}+"), 0)
@@ -40,8 +48,9 @@ def word_count(c) -> Column:
 
 
 def collapse_ws(c) -> Column:
-    """``' '.join(s.split())``."""
-    return ustrip(F.regexp_replace(_c(c), f"{WS}+", " "))
+    """``' '.join(s.split())``: every whitespace run becomes one ASCII space, so the plain
+    (ASCII-space) trim is exact afterwards."""
+    return F.trim(F.regexp_replace(_c(c), f"{WS}+", " "))
 
 
 def is_blank(c) -> Column:
@@ -50,7 +59,7 @@ def is_blank(c) -> Column:
 
 def strip_code_fence(c) -> Column:
     """Strip, then drop a leading json code fence and a trailing fence (no re-strip)."""
-    s = ustrip(c)
+    s = ustrip_long(c)
     head = len(K.CODE_FENCE_OPEN)
     tail = len(K.CODE_FENCE_CLOSE)
     opened = F.when(s.startswith(K.CODE_FENCE_OPEN), F.substring(s, head + 1, 1 << 30)).otherwise(s)
