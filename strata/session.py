@@ -44,12 +44,39 @@ def get_spark(master: str | None = None, app: str = "strata", shuffle_partitions
 
 
 def apply_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable defaults to an existing session (e.g. the driver's)."""
+    """Apply the runtime-settable defaults to an existing session (e.g. the driver's) and
+    make the package importable by its Python workers."""
     for k, v in DEFAULT_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session: leave as is
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (what ``--py-files`` does), once
+    per application. UDFs and the kNN kernel are defined in package modules, so a worker
+    must be able to import them whatever the driver's working directory is."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="strata-pyfiles-"), "strata.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, dirs, files in os.walk(pkg):
+            dirs[:] = [x for x in dirs if x != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
