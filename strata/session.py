@@ -61,7 +61,10 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (what ``--py-files`` does), once
     per application. UDFs and the kNN kernel are defined in package modules, so a worker
     must be able to import them whatever the driver's working directory is."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote session ships code its own way
+        return
     if sc.applicationId in _SHIPPED:
         return
     import zipfile

@@ -27,10 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     splits than the session's parallelism is it spread round-robin; a large input (many
     splits) is left untouched, so at scale this adds no shuffle. Filters and column pruning
     still push through the repartition into the scan."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def load_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
