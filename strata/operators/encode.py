@@ -3,8 +3,8 @@
 The default encoder is a deterministic hashed bag of words: lower-case the text, take the
 letter/digit/underscore runs as tokens, send each token to bucket
 ``int(md5(token)[:8], 16) % dim`` and count. It is a per-row map (no shuffle) run through an
-Arrow-batched pandas UDF, which is also the slot a real model takes: ``model_encoder`` wraps
-any batch ``predict`` function with ``predict_batch_udf``.
+Arrow-batched UDF, which is also the slot a real model takes: ``model_encoder`` wraps any
+batch ``predict`` function with ``predict_batch_udf``.
 
 The stored vector is the raw count vector. Cosine similarity is scale-free, so this equals
 searching unit vectors, and integer counts make every dot product exact, so rankings do not
@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,42 +35,62 @@ def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-_BUCKETS: dict = {}          # token -> bucket, kept across batches in a reused Python worker
+_BUCKETS: dict = {}          # dim -> {token: bucket}, kept across batches in a reused Python worker
 _BUCKETS_CAP = 2_000_000
 _RX = None
 
 
-def encode_texts(texts, dim: int = DEFAULT_DIM) -> list:
-    """Plain-Python reference of the encoder (also the body of the UDF): per text, the
-    buckets of its tokens counted with ``np.bincount``."""
+def encode_matrix(texts, dim: int = DEFAULT_DIM):
+    """Count matrix (len(texts) x dim) of a batch plus its NULL mask: every token of every
+    text is looked up once, and one ``np.bincount`` over row*dim+bucket fills the matrix."""
     global _RX
     if _RX is None:
         _RX = _token_re()
     findall = _RX.findall
-    cache = _BUCKETS
+    cache = _BUCKETS.setdefault(dim, {})
     if len(cache) > _BUCKETS_CAP:
         cache.clear()
-    out = []
-    for t in texts:
+    get = cache.get
+    rows, toks = [], []
+    nulls = np.zeros(len(texts), dtype=bool)
+    for r, t in enumerate(texts):
         if t is None:
-            out.append(None)
+            nulls[r] = True
             continue
-        bs = []
-        for tok in findall(t.lower()):
-            b = cache.get((tok, dim))
+        tt = findall(t.lower())
+        toks.extend(tt)
+        rows.extend([r] * len(tt))
+    bs = [get(tok) for tok in toks]
+    if None in bs:
+        for i, b in enumerate(bs):
             if b is None:
-                b = cache[(tok, dim)] = token_bucket(tok, dim)
-            bs.append(b)
-        out.append(np.bincount(np.asarray(bs, dtype=np.int64), minlength=dim).astype(np.float64))
-    return out
+                tok = toks[i]
+                b = get(tok)
+                if b is None:
+                    b = cache[tok] = token_bucket(tok, dim)
+                bs[i] = b
+    flat = np.asarray(rows, dtype=np.int64) * dim + np.asarray(bs, dtype=np.int64)
+    m = np.bincount(flat, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+    return m, nulls
+
+
+def encode_texts(texts, dim: int = DEFAULT_DIM) -> list:
+    """Plain-Python form of the encoder: one count vector (or None) per text."""
+    m, nulls = encode_matrix(list(texts), dim)
+    return [None if n else row for row, n in zip(m, nulls)]
 
 
 def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
-    """Column expression: ``array<double>`` term-count vector of ``text_col``."""
+    """Column expression: ``array<double>`` term-count vector of ``text_col``.
+
+    An Arrow UDF: the batch arrives as an Arrow string array and leaves as one list array
+    built on the count matrix's buffer, with no per-row Python objects on the way out."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _encode(s: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(s.tolist(), dim))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def _encode(s: pa.Array) -> pa.Array:
+        m, nulls = encode_matrix(s.to_pylist(), dim)
+        offsets = pa.array(np.arange(0, (len(m) + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(nulls))
 
     return _encode(F.col(text_col) if isinstance(text_col, str) else text_col)
 
