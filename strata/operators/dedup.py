@@ -169,8 +169,13 @@ def distinct_names(docs: DataFrame, id_col: str, name_col: str, cleaned: DataFra
     return c.groupBy("clean").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
-    """(a, b, name_a, name_b) with rep a < rep b that may reach ratio t (lossless)."""
+def candidate_pairs(names: DataFrame, t: float, positional: bool = False) -> DataFrame:
+    """(a, b, name_a, name_b) with rep a < rep b that may reach ratio t (lossless).
+
+    ``positional`` adds the PPJoin-style bound (shared prefix tokens + the remaining suffix
+    must reach the floor). It halves the candidates on the test data but its extra
+    aggregation cost more than the difflib work it saved at sf0.1 (A/B: 37-42 s vs
+    27-31 s), so it is off by default; it pays when verification dominates."""
     n = names.select("rep", "clean", F.length("clean").alias("len"))
     # overlapping bigrams in one linear regex pass (a zero-width lookahead per position);
     # substring-by-position would rescan the UTF-8 string from its start for every bigram
@@ -203,24 +208,31 @@ def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
     b = prefix.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), "token", bucket.alias("bk"))
     cond = ((a["token"] == b["token"]) & (a["bk"] == b["bk"]) & (a["ra"] != b["rb"]) & (a["la"] <= b["lb"])
             & (F.lit(2.0) * a["la"] / (a["la"] + b["lb"]) >= F.lit(t)))
-    # shared prefix tokens per pair: a plain count (partial aggregation map-side); the
-    # per-name facts are attached afterwards from the one-row-per-name table
-    shared = a.join(b, cond).groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("c"))
-    info = n.select("rep", "len").join(last, "rep")
-    ia = info.select(F.col("rep").alias("ra"), F.col("len").alias("la"), F.col("lastkey").alias("ka"),
-                     F.col("plen").alias("pa"))
-    ib = info.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), F.col("lastkey").alias("kb"),
-                     F.col("plen").alias("pb"))
-    shared = shared.join(ia, "ra").join(ib, "rb")
-    # Positional bound: shared tokens of the name whose prefix ends first in the global order
-    # all lie in both prefixes, except those in its suffix; so overlap <= c + that suffix.
-    suffix = F.when(F.col("ka") <= F.col("kb"), F.col("la") - 1 - F.col("pa")).otherwise(F.col("lb") - 1 - F.col("pb"))
-    need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0 + EPS))
-    pairs = (shared.where(F.col("c") + suffix >= need)
-                   .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
-                           F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-                           F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
-                   .distinct())
+    if not positional:
+        pairs = (a.join(b, cond)
+                  .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
+                          F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
+                          F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
+                  .distinct())
+    else:
+        # shared prefix tokens per pair: a plain count (partial aggregation map-side); the
+        # per-name facts are attached afterwards from the one-row-per-name table
+        shared = a.join(b, cond).groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("c"))
+        info = n.select("rep", "len").join(last, "rep")
+        ia = info.select(F.col("rep").alias("ra"), F.col("len").alias("la"), F.col("lastkey").alias("ka"),
+                         F.col("plen").alias("pa"))
+        ib = info.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), F.col("lastkey").alias("kb"),
+                         F.col("plen").alias("pb"))
+        shared = shared.join(ia, "ra").join(ib, "rb")
+        # Positional bound: shared tokens of the name whose prefix ends first in the global order
+        # all lie in both prefixes, except those in its suffix; so overlap <= c + that suffix.
+        suffix = F.when(F.col("ka") <= F.col("kb"), F.col("la") - 1 - F.col("pa")).otherwise(F.col("lb") - 1 - F.col("pb"))
+        need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0 + EPS))
+        pairs = (shared.where(F.col("c") + suffix >= need)
+                       .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
+                               F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
+                               F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
+                       .distinct())
 
     # names whose bound gives no guarantee (very short) are paired by length band instead
     short = n.where(overlap_floor(F.col("len"), t) <= 0)
