@@ -71,6 +71,8 @@ def _keep_last_n(n: int):
         for pdf in pdfs:
             for t, r, x in zip(pdf["turn"].tolist(), pdf["role"].tolist(), pdf["text"].tolist()):
                 msgs[int(t)] = (r, x)
+            if len(msgs) > n:  # trim per Arrow batch: a hot conversation never holds more
+                msgs = {t: msgs[t] for t in sorted(msgs)[-n:]}
         kept = sorted(msgs)[-n:]
         state.update(([int(t) for t in kept], [msgs[t][0] for t in kept], [msgs[t][1] for t in kept]))
         yield pd.DataFrame({"conv_id": [key[0]] * len(kept), "turn": kept,
