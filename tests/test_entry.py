@@ -53,3 +53,10 @@ def test_report_on_fixture(spark):
     assert bad.startswith("Error formatting entry")
     a = df.limit(1).select(R.format_authors(F.try_parse_json("content")).alias("a")).first()["a"]
     assert a == "A. Author (Uni), B. Author"
+
+
+def test_stream_ingest_equals_batch_ingest(spark):
+    qs = E.queries()
+    a = {tuple(r) for r in qs["stream_ingest"](spark, SF001).collect()}
+    b = {tuple(r) for r in qs["ingest_documents"](spark, SF001).collect()}
+    assert a == b and a
