@@ -92,7 +92,7 @@ def strip_code_fence(spark, sf):
 
 def file_name_col():
     """Test-data file name of a document: its first sentence, a year, '.pdf'."""
-    title = F.coalesce(F.try_element_at(TX.sentences("text"), F.lit(1)), F.lit(""))
+    title = TX.first_sentence("text")
     year = (F.lit(1990) + F.pmod(F.col("doc_id"), F.lit(30))).cast("string")
     return F.concat(title, F.lit(" "), year, F.lit(".pdf"))
 

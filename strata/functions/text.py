@@ -123,6 +123,14 @@ def sentences(c) -> Column:
     return F.filter(F.transform(pieces, ustrip), lambda s: s != F.lit(""))
 
 
+def first_sentence(c) -> Column:
+    """``sentences(c)[0]`` (or '') without cutting the whole text: a piece is empty after
+    strip only when it is whitespace ending in a newline, so the first non-empty piece starts
+    after the leading whitespace."""
+    first = F.regexp_extract(_c(c), rf"(?d)^{WS}*([^.!?\n]*[.!?\n]|[^.!?\n]+$)", 1)
+    return F.coalesce(ustrip(first), F.lit(""))
+
+
 def html_to_text(c) -> Column:
     """Markup removal for page text: scripts, styles, comments, tags, five basic entities."""
     s = F.regexp_replace(_c(c), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
