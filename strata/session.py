@@ -82,18 +82,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_LOCAL_DIRS: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) do we
-    create a local folder and register it, so a cluster never gets a machine-local path.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only when
+    neither is set (local tests) is a local folder created; it is registered with
+    ``setCheckpointDir``, since the conf itself cannot change on a running session."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="strata-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_DIRS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="strata-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -17,7 +16,5 @@ def spark():
     s = get_spark("local[4]", app="strata-tests", shuffle_partitions=8,
                   extra={"spark.ui.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="strata-test-ckpt-"))
     yield s
     s.stop()
