@@ -14,5 +14,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, exactly or with few edits."""
+    from .decontam import leaks
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    from .packing import packed
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from .simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns, and what the randomness tests add."""
+    from .secret_scan import secret_table
+    return secret_table(table(spark, sf_dir, "documents")).drop("n_random")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op8_simhash,
+                                   op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
