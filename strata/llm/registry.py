@@ -26,18 +26,43 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learned from four fifths of them."""
+    from .ppm import scores
+    return scores(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document by the compiled transducer."""
+    from .tokencount import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of every document, as read back from the binary shards."""
+    from .feistel import training_order
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from .simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    from .urltree import judge, labelled_pages
+    return judge(labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base patterns, and what the randomness tests add."""
     from .secret_scan import secret_table
     return secret_table(table(spark, sf_dir, "documents")).drop("n_random")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op8_simhash,
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op5_ppm_scores,
+                                   op6_token_counts, op7_training_order, op8_simhash, op9_url_filter,
                                    op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
