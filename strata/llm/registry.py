@@ -26,6 +26,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that an earlier document has too, removed from every document."""
+    from .suffix import dedup_spans
+    return dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document, learned from four fifths of them."""
     from .ppm import scores
@@ -62,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_table(table(spark, sf_dir, "documents")).drop("n_random")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op5_ppm_scores,
-                                   op6_token_counts, op7_training_order, op8_simhash, op9_url_filter,
-                                   op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op4_suffix_dedup,
+                                   op5_ppm_scores, op6_token_counts, op7_training_order, op8_simhash,
+                                   op9_url_filter, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
