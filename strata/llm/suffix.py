@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte that a 50-byte string of an earlier document covers.
 
-Documents are staged in shards. For pieces of a shard of bounded size a suffix array is built
-in numpy by Larsson-Sadakane refinement: suffixes are sorted by 8 bytes, and then only the
+Documents are staged in shards. For pieces of a shard of bounded size a suffix array of all
+text that can repeat there (see anchors below) is built in numpy by Larsson-Sadakane refinement: suffixes are sorted by 8 bytes, and then only the
 groups that are still tied are sorted again by the ranks 8, 16 and 32 bytes further on. Common
 prefixes of neighbours follow Kasai's observation (a pair that is its predecessor's pair moved
 on by one byte has a common prefix shorter by one), so only the other pairs are compared. Runs
@@ -69,7 +69,7 @@ def words8(text: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, w8: np.ndarray) -> np.ndarray:
     """Places of ``text`` sorted by their next 64 bytes."""
     n = len(text)
-    sa = np.argsort(w8, kind="stable")
+    sa = np.argsort(w8)
     key = w8[sa]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n + 64, np.int64)
@@ -83,7 +83,7 @@ def suffix_array(text: np.ndarray, w8: np.ndarray) -> np.ndarray:
             break
         p = sa[slots]
         key = rank[p].astype(np.uint64) << np.uint64(32) | rank[p + h].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, p = key[order], p[order]
         sa[slots] = p
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -144,19 +144,41 @@ class Piece:
         self.doc = np.repeat(np.arange(len(texts)), sizes + 1)
         self.valid = np.arange(n) + SIZE <= ends[self.doc]
 
-    def repeated(self) -> np.ndarray:
-        """Strings (by start) that a document of this piece with a smaller id has too."""
+    def repeated(self, found) -> np.ndarray:
+        """Strings (by start) that a document of this piece with a smaller id has too.
+
+        Equal strings own equal anchors, so the suffix array is over the stretches of the
+        anchors (``found``) that occur more than once; no other string can repeat."""
         out = np.zeros(len(self.text), bool)
-        sa = suffix_array(self.text, self.w8)
-        lcp = common_prefixes(self.w8, sa)
-        first = np.nonzero(lcp[sa] < SIZE)[0]
-        if len(sa) and (not len(first) or first[0]):
+        if found is None:
+            return out
+        h, lo, hi, _ = found
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        lo, hi = lo[twice], hi[twice]
+        if not len(lo):
+            return out
+        joined = (lo[1:] == hi[:-1] + 1) & (self.doc[lo[1:]] == self.doc[lo[:-1]])
+        cut = np.nonzero(np.concatenate([[True], ~joined]))[0]
+        lo, hi = lo[cut], hi[np.append(cut[1:], len(hi)) - 1]
+        sizes = hi - lo + SIZE + 1  # with a separator
+        nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.repeat(lo, sizes) + nth
+        text = self.text[np.minimum(place, len(self.text) - 1)].copy()
+        text[np.cumsum(sizes) - 1] = SEP
+        w8 = words8(text)
+        sa = suffix_array(text, w8)
+        first = np.nonzero(common_prefixes(w8, sa)[sa] < SIZE)[0]
+        if not len(first) or first[0]:
             first = np.concatenate([[0], first])
-        own = np.where(self.valid, self.ids[self.doc], NO_ID)[sa]
-        if len(sa):
-            least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(sa))))
-            out[sa] = least < own
-        return out & self.valid
+        string = nth <= np.repeat(hi - lo, sizes)  # a whole string starts here
+        own = np.where(string, self.ids[self.doc[np.minimum(place, len(self.text) - 1)]], NO_ID)[sa]
+        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(sa))))
+        hit = sa[least < own]
+        out[place[hit[string[hit]]]] = True
+        return out
 
     def hash50(self, p: np.ndarray) -> np.ndarray:
         """Hash of the string at each place."""
@@ -259,11 +281,11 @@ def _reports(ranges: int):
 
         def rows():
             for piece in _table_pieces(docs):
-                gone = piece.repeated()
+                found = piece.anchors()
+                gone = piece.repeated(found)
                 runs = _runs(piece, np.nonzero(gone)[0])
                 if runs is not None:
                     yield RUNS, 0, shard, runs.tobytes(), b""
-                found = piece.anchors()
                 if found is None:
                     continue
                 h, lo, hi, stretch = found
