@@ -69,7 +69,7 @@ def words8(text: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, w8: np.ndarray) -> np.ndarray:
     """Places of ``text`` sorted by their next 64 bytes."""
     n = len(text)
-    sa = np.argsort(w8)
+    sa = np.argsort(w8, kind="stable")
     key = w8[sa]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n + 64, np.int64)
@@ -83,7 +83,7 @@ def suffix_array(text: np.ndarray, w8: np.ndarray) -> np.ndarray:
             break
         p = sa[slots]
         key = rank[p].astype(np.uint64) << np.uint64(32) | rank[p + h].astype(np.uint64)
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")  # ties stay in text order: long chains below
         key, p = key[order], p[order]
         sa[slots] = p
         new = np.concatenate([[True], key[1:] != key[:-1]])
