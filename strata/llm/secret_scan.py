@@ -6,7 +6,7 @@ is its inferred encoding. Three tests ask whether the token can be a uniform dra
 alphabet: chi-squared uniformity (as a normal deviate), runs above and below the mean, and
 serial correlation; their p-values are combined by Fisher's rule, and a token that fails is
 ordinary text. Short words pass such tests easily, so the opposite hypothesis is tested too:
-that the token is drawn from the characters which tokens of this corpus are made of. The
+that the token is drawn from the characters of this corpus, counted over all texts. The
 likelihood ratio of the two gives a p-value that holds for any length (its mean under ordinary
 text is one), and false discoveries are controlled by the step-up rule within each length
 class. Character counts and p-value histograms cover all documents; only those histograms,
@@ -127,16 +127,21 @@ def _length_class(n: Column) -> Column:
     return F.floor(F.log2(n / MIN_TOKEN)).cast("int")
 
 
-def discoveries(rows: DataFrame, c: str, rate: float = RATE):
+def character_counts(documents: DataFrame) -> dict[str, int]:
+    """How often each character of :data:`ORDER` occurs in all texts (one grouped count)."""
+    size = F.octet_length("text").cast("long")
+    row = documents.agg(*[F.sum(size - F.octet_length(F.replace("text", F.lit(ch), F.lit("")))).alias(f"c{i}")
+                          for i, ch in enumerate(ORDER)]).first()
+    return {ch: row[i] or 0 for i, ch in enumerate(ORDER)}
+
+
+def discoveries(rows: DataFrame, c: str, seen: dict[str, int], rate: float = RATE):
     """A function (token struct) -> boolean Column: is this candidate random text?
 
-    ``rows`` holds candidate arrays in column ``c``."""
+    ``rows`` holds candidate arrays in column ``c``; ``seen`` has the corpus's characters."""
     tokens = rows.select(F.explode(c).alias("x")).select("x.t", "x.b")
     counted = tokens.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"))
-    per_char = (counted.select(F.explode(F.array_remove(F.split("t", "", -1), "")).alias("ch"), "n")
-                .groupBy("ch").agg(F.sum("n").alias("n")).collect())  # at most len(ORDER) rows
-    total = sum(r["n"] for r in per_char)
-    seen = {r["ch"]: r["n"] for r in per_char}
+    total = sum(seen.values())
     cost = {ch: -math.log((seen.get(ch, 0) + 0.5) / (total + 0.5 * len(ORDER))) for ch in ORDER}
     costs = F.array(*[F.lit(cost[ch]) for ch in ORDER])
 
@@ -191,7 +196,7 @@ def secret_table(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row, and the number of
     spans that the battery added."""
     rows = staged(_scanned(documents.select("doc_id", "text"), F.col("text"), "s").select("doc_id", "s"), "secrets")
-    found = discoveries(rows, "s.more")
+    found = discoveries(rows, "s.more", character_counts(documents))
     n = lambda k: F.size(F.filter("s.base", lambda x: x.k == k)).cast("long")
     base = F.array_sort(F.transform("s.base", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"))))
     spans = _all_spans("s", found)
@@ -205,7 +210,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     overlapping spans by one); ``n_chars``, where there is one, follows the new text."""
     s, m = fresh(documents, "secrets", "merged")
     rows = staged(_scanned(documents, F.col("text"), s), "secrets-documents")
-    spans = _all_spans(s, discoveries(rows, f"{s}.more"))
+    spans = _all_spans(s, discoveries(rows, f"{s}.more", character_counts(documents)))
     merged = F.aggregate(spans, F.array().cast("array<struct<s:int,e:int>>"), lambda a, x: F.when(
         (F.size(a) > 0) & (F.element_at(a, -1).e >= x.s),
         F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
