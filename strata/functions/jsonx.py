@@ -11,13 +11,20 @@ def _c(c) -> Column:
 
 
 def is_valid_json(c) -> Column:
-    """True iff the text parses as JSON (any top-level value); NULL text is not valid."""
-    return F.coalesce(F.try_parse_json(_c(c)).isNotNull(), F.lit(False))
+    """True iff the whole text is one JSON value; NULL text is not valid.
 
+    The parser ignores what follows the first value, so the text is parsed inside an array,
+    which must hold one element (no second value), and inside an object, which must close
+    (no trailing text). ``NaN`` and ``Infinity`` are not JSON and are not valid."""
+    x = _c(c)
+    only = F.size(F.variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")) == 1
+    closed = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull()
+    return F.coalesce(only & closed, F.lit(False))
 
-def is_object(c) -> Column:
-    v = F.try_parse_json(_c(c))
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+def parse(c) -> Column:
+    """The text as VARIANT; NULL unless the whole text is one JSON value."""
+    return F.when(is_valid_json(c), F.try_parse_json(_c(c)))
 
 
 def inject_field(c, key: str, value) -> Column:
@@ -25,5 +32,5 @@ def inject_field(c, key: str, value) -> Column:
 
     Values keep their JSON types (a map of VARIANT), and the injected key wins over an
     existing one (``spark.sql.mapKeyDedupPolicy=LAST_WIN``, set by the session helper)."""
-    m = F.from_json(_c(c), "map<string, variant>")
+    m = F.when(is_valid_json(c), F.from_json(_c(c), "map<string, variant>"))
     return F.to_json(F.map_concat(m, F.create_map(F.lit(key), _c(value).cast("variant"))))

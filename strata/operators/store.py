@@ -23,12 +23,13 @@ from . import encode as EN
 from .answer import last_n
 
 ID_SEP = "\u001f"
+ID_NULL = "\u0000"
 
 
 def content_id(*cols) -> Column:
-    """Deterministic id: SHA-256 of the identifying fields."""
-    return F.sha2(F.concat_ws(ID_SEP, *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-                                        for c in cols]), 256)
+    """Deterministic id: SHA-256 of the identifying fields; a NULL field has a mark of its own."""
+    fields = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.sha2(F.concat_ws(ID_SEP, *[F.coalesce(c.cast("string"), F.lit(ID_NULL)) for c in fields]), 256)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -101,7 +102,7 @@ def read_state(spark: SparkSession, root: str, schema) -> DataFrame:
 def write_state(spark: SparkSession, root: str, df: DataFrame) -> int:
     v = _versions(spark, root)
     nxt = (v[-1] + 1) if v else 1
-    df.write.mode("overwrite").parquet(f"{root}/v={nxt}")
+    df.write.mode("error").parquet(f"{root}/v={nxt}")  # a second writer of a version fails
     return nxt
 
 
@@ -113,11 +114,12 @@ def read_progress(spark: SparkSession, root: str | None) -> DataFrame:
 
 
 def upsert_progress(spark: SparkSession, root: str | None, updates: DataFrame) -> int | None:
-    """SNK3: last write wins per source; a no-op without a path."""
+    """SNK3: last write wins per source; a no-op without a path. Within one update, which has
+    no order, the most advanced count of a source is its last write."""
     if not root:
         return None
     old = read_progress(spark, root)
-    new = updates.select("source", F.col("chunks_processed").cast("long"))
+    new = updates.groupBy("source").agg(F.max(F.col("chunks_processed").cast("long")).alias("chunks_processed"))
     return write_state(spark, root, old.join(new.select("source"), "source", "left_anti").unionByName(new))
 
 

@@ -47,10 +47,7 @@ def apply_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session (e.g. the driver's) and
     make the package importable by its Python workers."""
     for k, v in DEFAULT_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: leave as is
-            pass
+        spark.conf.set(k, v)
     ship_package(spark)
 
 
@@ -93,6 +90,8 @@ def shared_dir(spark: SparkSession) -> str:
     ``setCheckpointDir``, since the conf itself cannot change on a running session."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = _LOCAL_DIRS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="strata-ckpt-"))
     if sc.getCheckpointDir() is None:

