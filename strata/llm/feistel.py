@@ -72,11 +72,11 @@ def sequences(documents: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     arrow_batches(documents.sparkSession)
 
     def cut(batches):
-        from .tokenize import Encoder
-        encoder, tail = Encoder(), np.array([END], np.uint32)
+        from .tokenize import encoder
+        encode, tail = encoder().encode, np.array([END], np.uint32)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
                 ids = np.concatenate([ids, tail]).astype("<u2")
                 rows += [(doc_id, k, ids[at:at + seq_len].tobytes())
                          for k, at in enumerate(range(0, len(ids), seq_len))]

@@ -42,12 +42,12 @@ def pieces(documents: DataFrame, limit: int = LIMIT, end: int = END) -> DataFram
     arrow_batches(documents.sparkSession)
 
     def cut(batches):
-        from .tokenize import Encoder
-        encoder = Encoder()
+        from .tokenize import encoder
+        encode = encoder().encode
         tail = np.array([end], np.uint32)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
                 ids = np.concatenate([ids, tail])
                 for k, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at:at + limit]

@@ -199,6 +199,17 @@ class TokenCounter:
         return self.word(m.head) + m.count + self.word(m.tail)
 
 
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def _counter() -> TokenCounter:
+    """This worker process's counter: states and known words outlive a task."""
+    path = vocabulary_path(VOCABULARY)
+    if path not in _COUNTERS:
+        _COUNTERS[path] = TokenCounter(path)
+    return _COUNTERS[path]
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
                      ("over_limit", pa.bool_())])
 
@@ -208,7 +219,7 @@ def token_counts(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     arrow_batches(documents.sparkSession)
 
     def count(batches):
-        counter = TokenCounter()
+        counter = _counter()
         for b in batches:
             n = [counter.text(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()),
