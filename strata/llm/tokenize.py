@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-SEPARATOR = "<|endoftext|>"
 #: Distinct words that a worker keeps the ids of before it starts anew (memory bound only).
 KEPT_WORDS = 800_000
 #: Blanks that this vocabulary drops; str.split() knows four more, which are ordinary here.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters beyond ASCII that are composed already and whose lower case is one letter of the same
+#: range: Latin-1 and Latin Extended-A, but for the dotted capital I.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Words that are cut into pieces here.
+PLAIN = re.compile(f"[!-~{_LATIN}]+")
+#: Pieces of such a word in lower case (the vocabulary's pattern; fixed values).
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -17,21 +25,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_symbols() -> dict[int, str]:
+    """The vocabulary's character for each byte: printable bytes stand for themselves, the
+    others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts. The vocabulary drops white space and never merges across it, so a
-    text's ids are those of its blank-separated words; each distinct word is encoded once."""
+    text's ids are those of its blank-separated words, and a word's ids those of its pieces.
+    Words of ASCII and simple Latin letters are cut into pieces here; each distinct piece is
+    merged once by the library's model. All other words go through the whole library."""
 
     def __init__(self, path: str | None = None):
+        import json
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path or vocabulary_path())
-        self.separator = self.library.token_to_id(SEPARATOR)
+        path = path or vocabulary_path()
+        self.library = Tokenizer.from_file(path)
+        spec = json.load(open(path, encoding="utf-8"))
+        suffix = spec["model"]["end_of_word_suffix"]
+        size = max(spec["model"]["vocab"].values()) + 1
+        self.ends = np.zeros(size, bool)  # tokens that end a piece
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        # the model alone: its input is pieces in byte symbols, between single spaces
+        spec.update(normalizer=None, pre_tokenizer={"type": "WhitespaceSplit"}, added_tokens=[])
+        self.model = Tokenizer.from_str(json.dumps(spec))
+        self.symbols = _byte_symbols()
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _merge(self, pieces: list[str]) -> None:
+        """Learn the ids of new pieces."""
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at:at + 4096]
+            line = " ".join(part)
+            if not line.isascii():
+                symbols = self.symbols | {0x20: " "}  # no piece holds a space
+                line = line.encode().decode("latin-1").translate(symbols)
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                self.pieces[p] = raw[a:b]
+            if len(cuts) != len(part) or cuts[-1] != len(raw):
+                raise ValueError("a piece does not end in an end token")
+
+    def _learn(self, new: set[str]) -> None:
+        """Learn the ids of new words."""
+        cut, known = {}, self.known
+        plain, find = PLAIN.fullmatch, PIECE.findall
+        for w in new:
+            if plain(w) and "<|" not in w:
+                cut[w] = find(w.lower())
+            else:
+                known[w] = self._ids(w).tobytes()
+        self._merge(list(set().union(*cut.values()).difference(self.pieces)))
+        get = self.pieces.__getitem__
+        for w, ps in cut.items():
+            known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+
     def split(self, text: str) -> list[str] | None:
         """Words, or None for a text that must be encoded whole."""
         if any(c in text for c in _ODD):
@@ -42,20 +101,10 @@ class Encoder:
         """uint32 ids of each text."""
         lists = [self.split(t or "") for t in texts]
         known = self.known
-        if len(known) > KEPT_WORDS:
+        if len(known) > KEPT_WORDS or len(self.pieces) > KEPT_WORDS:
             known.clear()
-        new = set().union(*[ws for ws in lists if ws]).difference(known)
-        special = [w for w in new if "<|" in w]
-        for w in special:
-            known[w] = self._ids(w).tobytes()
-        new = list(new.difference(special))
-        for at in range(0, len(new), 1024):  # many words in one call, a special token between
-            part = new[at:at + 1024]
-            ids = self._ids(f" {SEPARATOR} ".join(part))
-            cuts = np.nonzero(ids == self.separator)[0].tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                known[w] = raw[4 * a + 4:4 * b]
+            self.pieces.clear()
+        self._learn(set().union(*[ws for ws in lists if ws]).difference(known))
         out = []
         for t, ws in zip(texts, lists):
             if ws is None:

@@ -153,3 +153,14 @@ def test_pipeline_stages(spark, documents):
         seen[name] = docs.count()
     counts = list(seen.values())
     assert documents.count() > counts[0] >= counts[1] > counts[2] == counts[3] <= counts[4]
+
+
+def test_encoder_equals_the_library():
+    from strata.llm.tokenize import Encoder
+    enc = Encoder()
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+    odd = [s.format(c) for c in letters for s in ("{0}", "a{0}", "{0}1", "Z{0}{0}x'S")]
+    odd += ["don't it's 'RE'", "a1b2 3", "x<|endoftext|>y <|endoftext|>", "İa Å é ﬁ", "漢字",
+            "a\x1cb c", "", " ", "word " * 3000, "%%%," * 50, "ÀÉŸž, ×÷"]
+    for text, ids in zip(odd, enc.encode(odd), strict=True):
+        assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids, text
