@@ -123,9 +123,12 @@ def materialize(spark: SparkSession, df_fn, name: str, key=None, partition_by: l
     return spark.read.parquet(_MATERIALIZED[k])
 
 
-def local_path(p: str) -> str:
-    """Strip a file: scheme for local filesystem checks in tests."""
-    return p[len("file:"):] if p.startswith("file:") else p
+def list_files(path: str, suffix: str):
+    """(file system, sorted file names) of a folder in the shared folder, for use in a task."""
+    from pyarrow import fs
+    files, root = fs.FileSystem.from_uri(path)
+    found = files.get_file_info(fs.FileSelector(root))
+    return files, sorted(f.path for f in found if f.path.endswith(suffix))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -134,10 +137,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
-
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
