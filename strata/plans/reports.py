@@ -22,5 +22,4 @@ def write_reports(spark: SparkSession, jsonl_dir: str, out_dir: str, *, glob: st
                   F.concat(F.lit("Error decoding JSON line: "), F.col("_corrupt"), F.lit("\n")))
     entries = env.select(partition_col, "source_file",
                          R.html_entry(F.coalesce(text, R.report_markdown(F.col("_v")))).alias("html"))
-    R.write_html_pages(entries, out_dir, group_col=partition_col, per_page=per_page)
-    return entries
+    return R.write_html_pages(entries, out_dir, group_col=partition_col, per_page=per_page)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.operators import store as ST
+from strata.operators import report as R
 from strata.plans import cleaning, ingest, reports, retrieval
 from strata.schemas import STORE_DOCUMENTS, STORE_VECTORS
 
@@ -58,3 +59,18 @@ def test_cleaning_plan(spark):
     s = c.summary.first()
     assert (s["removed"], s["skipped"]) == (2, 0)
     assert sorted(r["id"] for r in c.survivors.collect()) == [1, 4]
+
+
+def test_pages_are_whole_files_of_bounded_size(spark, tmp_path):
+    """1,200 equal entries without key or group, and a few of another group: every page is one
+    file of one page, no page is much larger than asked for, and nothing is lost."""
+    rows = [(None, None, "<pre>bad line</pre>\n")] * 1200 + [("s", f"f{i}", f"<pre>{i}</pre>\n") for i in range(5)]
+    df = spark.createDataFrame(rows, "source string, source_file string, html string").repartition(3)
+    back = R.write_html_pages(df, str(tmp_path / "pages"), per_page=100)
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(map(key, back.collect())) == sorted(map(key, rows))
+    files = spark.read.text(str(tmp_path / "pages"), wholetext=True).collect()
+    assert len(files) == 13 and all(f["value"].count("<html>") == 1 for f in files)
+    assert max(f["value"].count("<pre>") for f in files) < 200
+    found = R.read_html_pages(spark, str(tmp_path / "pages")).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in found} == {None: 1200, "s": 5}
