@@ -13,7 +13,6 @@ from ._registry import query, round_doubles
 
 # Threshold used where the default 0.6 would leave the check without hits on
 # random-direction vectors; the text-search thresholds keep the default.
-VECTOR_THRESHOLD = 0.3
 
 
 def _text_search(spark, sf, k, summary_type=None, min_similarity=None):

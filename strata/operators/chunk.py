@@ -56,8 +56,3 @@ def page_chunks(df: DataFrame, text_col: str, keep: tuple = (), min_words: int =
     return (df.select(*keep, t.alias("text"))
               .withColumn("n_words", TX.word_count("text"))
               .where(F.col("n_words") > F.lit(min_words)))
-
-
-def non_blank(df: DataFrame, text_col: str) -> DataFrame:
-    """FLT2: drop NULL and blank texts."""
-    return df.where(F.col(text_col).isNotNull() & ~TX.is_blank(text_col))

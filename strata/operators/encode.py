@@ -74,12 +74,6 @@ def encode_matrix(texts, dim: int = DEFAULT_DIM):
     return m, nulls
 
 
-def encode_texts(texts, dim: int = DEFAULT_DIM) -> list:
-    """Plain-Python form of the encoder: one count vector (or None) per text."""
-    m, nulls = encode_matrix(list(texts), dim)
-    return [None if n else row for row, n in zip(m, nulls)]
-
-
 def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
     """Column expression: ``array<double>`` term-count vector of ``text_col``.
 

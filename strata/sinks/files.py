@@ -17,11 +17,3 @@ def write_lines_by(df: DataFrame, path: str, line_col: str, by: str, mode: str =
 def write_extraction_jsonl(envelopes: DataFrame, path: str, source_col: str = "source") -> str:
     """SNK2: envelope lines grouped into one JSON-lines directory per source."""
     return write_lines_by(envelopes, path, "line", source_col)
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path

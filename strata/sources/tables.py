@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.encode import DEFAULT_DIM, hashed_bow
-from ..schemas import STORE_DOCUMENTS, STORE_VECTORS
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -35,14 +34,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(par) if n < par else df
 
 
-def load_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC5: read a store table with its fixed schema, or an empty one if it does not exist."""
-    from ..session import path_exists
-    if path_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents store over the given ``documents`` table: ``lang`` plays the evidence
     type, the prompt is the ingest default."""
@@ -57,18 +48,8 @@ def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def document_vectors(spark: SparkSession, sf_dir: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Documents encoded by the default encoder: the store a text query searches."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), hashed_bow("text", dim).alias("embedding"))
-
-
 def benchmark_queries(spark: SparkSession, sf_dir: str, dim: int = DEFAULT_DIM) -> DataFrame:
     """Every benchmark item is a question; its vector comes from the same encoder."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"),
                     hashed_bow("text", dim).alias("embedding"))
-
-
-__all__ = ["TABLES", "table", "load_or_empty", "store_documents", "store_vectors", "document_vectors",
-           "benchmark_queries", "STORE_DOCUMENTS", "STORE_VECTORS"]
