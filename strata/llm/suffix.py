@@ -257,21 +257,30 @@ def _range(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(rec: np.ndarray) -> bytes:
+    """Records byte by byte (all first bytes, all second ones ...), which compresses far better."""
+    return rec.view(np.uint8).reshape(len(rec), -1).T.tobytes()
+
+
+def _records(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
 def _by_range(kind, shard, h, record, ranges, extra=None):
     """Cut records into hash ranges: rows (kind, r, shard, records, extra)."""
     order = np.argsort(h, kind="stable")
     r = _range(h[order], ranges)
     cut = np.nonzero(np.diff(r))[0] + 1
     for part, x in zip(np.split(order, cut), r[np.concatenate([[0], cut])].tolist() if len(r) else []):
-        yield kind, x, shard, record[part].tobytes(), b"" if extra is None else extra[part].tobytes()
+        yield kind, x, shard, _packed(record[part]), b"" if extra is None else extra[part].tobytes()
 
 
-_ANCHOR = np.dtype([("h", "<u8"), ("s", "<u4"), ("id", "<i8")])
+_ANCHOR = np.dtype([("h", "<u8"), ("s", "<u8"), ("id", "<i8")])
 
 
 def _ask(h, s, ids):
     """One number for an anchor, its stretch and its document."""
-    return _mix(_mix(h + s.astype(np.uint64) * _C[1]) + ids.astype(np.uint64) * _C[2])
+    return _mix(_mix(h + s * _C[1]) + ids.astype(np.uint64) * _C[2])
 
 
 def _reports(ranges: int):
@@ -293,7 +302,7 @@ def _reports(ranges: int):
                 left = kept[hi + 1] > kept[lo]  # a string that is not removed yet
                 h, lo, stretch = h[left], lo[left], stretch[left]
                 rec = np.empty(len(h), _ANCHOR)
-                rec["h"], rec["s"], rec["id"] = h, stretch & np.uint64(0xFFFFFFFF), piece.ids[piece.doc[lo]]
+                rec["h"], rec["s"], rec["id"] = h, stretch, piece.ids[piece.doc[lo]]
                 rec = np.unique(rec)
                 yield from _by_range(ANCHORS, shard, rec["h"], rec, ranges)
         return _blob_table(rows())
@@ -303,7 +312,7 @@ def _reports(ranges: int):
 def _meet(table: pa.Table) -> pa.Table:
     """A hash range of all shards: what each shard is to remove (1) or to send (2)."""
     shards = table.column("shard").to_numpy()
-    parts = [np.frombuffer(x, _ANCHOR) for x in table.column("a").to_pylist()]
+    parts = [_records(x, _ANCHOR) for x in table.column("a").to_pylist()]
     rec = np.concatenate(parts)
     shard = np.repeat(shards, [len(x) for x in parts])
     order = np.lexsort((rec["id"], rec["s"], rec["h"]))
@@ -347,7 +356,7 @@ def _send(ranges: int):
                 if found is None:
                     continue
                 h, lo, hi, stretch = found
-                own = _ask(h, stretch & np.uint64(0xFFFFFFFF), piece.ids[piece.doc[lo]])
+                own = _ask(h, stretch, piece.ids[piece.doc[lo]])
                 p = np.minimum(np.searchsorted(key, own), len(key) - 1)
                 do = np.where(key[p] == own, what[p], 0)
                 out = np.zeros(len(piece.text) + 1, np.int32)
@@ -373,7 +382,7 @@ def _send(ranges: int):
 def _settle(table: pa.Table) -> pa.Table:
     """A hash range of stretches: the strings that an earlier document has too."""
     shards = table.column("shard").to_numpy()
-    parts = [np.frombuffer(x, _STRETCH) for x in table.column("a").to_pylist()]
+    parts = [_records(x, _STRETCH) for x in table.column("a").to_pylist()]
     rec = np.concatenate(parts)
     shard = np.repeat(shards, [len(x) for x in parts])
     text = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8)

@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from strata.llm import simhash, suffix
@@ -108,6 +110,28 @@ def test_suffix_dedup_equals_brute_force(spark, documents, edge, monkeypatch):
     assert got == sorted(map(repr, removed(rows)))
 
 
+def test_stretches_that_agree_in_half_their_hash_are_different(monkeypatch):
+    """All rounds on shards of one document; stretch hashes differ in their upper half only."""
+    plain = suffix.Piece.anchors
+    monkeypatch.setattr(suffix.Piece, "anchors", lambda self: (
+        lambda f: f and (*f[:3], f[3] << np.uint64(32)))(plain(self)))
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in (70, *[40] * 12)]
+    rows = [(i, words[1 + 2 * i] + words[0] + words[2 + 2 * i]) for i in range(6)]
+    docs = [pa.table({"shard": [i], "row": [0], "doc_id": [i], "id": [i], "text": [t.encode()]}) for i, t in rows]
+
+    def of(table, column, value):
+        return table.filter(pc.equal(table[column], value))
+    own = pa.concat_tables([suffix._reports(1)(d) for d in docs])
+    asked = suffix._meet(of(own, "kind", suffix.ANCHORS))
+    sent = pa.concat_tables([suffix._send(1)(d, of(asked, "shard", i)) for i, d in enumerate(docs)])
+    late = of(sent, "kind", suffix.STRETCHES)
+    gone = pa.concat_tables([of(own, "kind", suffix.RUNS), of(sent, "kind", suffix.RUNS),
+                             suffix._settle(late) if late.num_rows else late])
+    got = [tuple(r.values()) for i, d in enumerate(docs) for r in suffix._cut(d, of(gone, "shard", i)).to_pylist()]
+    assert got == list(removed(rows))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
     for n in (1, 7, 800):
