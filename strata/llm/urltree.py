@@ -3,7 +3,7 @@ functions only.
 
 The tree grows level by level over all pages. At each level the children of a node (host and
 template so far) are its next path segments with their page counts and labelled counts. A
-segment stays literal if it is frequent under its node and its rate of bad labels differs from
+segment stays literal if it has :data:`MIN_PAGES`, whatever its share of the node, and its rate of bad labels differs from
 that of its siblings (two-proportion test); all others are generalised: rare segments are
 variable, and statistically similar branches are merged into one wildcard. A level is two
 grouped counts and a join with the few literal children; page rows are never gathered by host.
@@ -27,7 +27,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
          ("org", "/fr/", "allow"))
 #: Path levels of the tree; deeper segments are judged together as one.
 DEPTH = 12
-MIN_PAGES, MIN_SHARE = 20, 0.01
+#: Pages of a literal segment, however many its node has.
+MIN_PAGES = 20
 #: A sibling differs if its deviate is at least this.
 DEVIATE = 2.58
 #: Weight of the overall rate, and the smoothed bad rate that rejects a template.
@@ -77,7 +78,7 @@ def templates(pages: DataFrame) -> DataFrame:
         differs = ((F.col("lab") > 0) & (rest > 0) & (spread > 0)
                    & (F.abs(F.col("hit") / F.greatest(F.col("lab"), F.lit(1)) - rest_rate) >= DEVIATE * spread))
         literal = child.join(node, ["host", "template"]).where(
-            (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("all_n")) & differs).select(
+            (F.col("n") >= MIN_PAGES) & differs).select(
             "host", "template", seg, F.lit(True).alias("literal"))
         rows = rows.join(literal, ["host", "template", seg], "left")
         step = F.when(F.col(seg).isNull(), "").otherwise(F.concat(F.lit("/"), F.when(

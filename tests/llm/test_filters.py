@@ -117,6 +117,15 @@ def test_url_rules_templates_and_edges(spark):
     assert urltree.judge(pages.limit(0)).count() == 0
 
 
+def test_a_small_branch_of_a_large_node_is_judged_by_itself(spark):
+    made = [(1000 * b + i, f"http://{host}/b{b}/x", b == bad) for host, bad, branches in
+            (("bad.org", 7, range(150)), ("small.org", 307, (300, 307))) for b in branches for i in range(30)]
+    made += [(1000 * b + i, f"http://clean.org/b{b}/x", b != 407) for b in range(400, 550) for i in range(30)]
+    pages = spark.createDataFrame(made, "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict for r in urltree.judge(pages).collect()}
+    assert got == {i: "block" if bad else "allow" for i, _, bad in made}
+
+
 def test_best_distance_is_the_least_over_all_stretches():
     def plain(a, b):
         row = list(range(len(b) + 1))
