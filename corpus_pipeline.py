@@ -32,8 +32,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces with their training sequence and place."""
-    return packing.packed(docs)
+    """What is left, as pieces with their token ids, training sequence and place."""
+    return packing.packed_ids(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup),

@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Documents are tokenised in their scan tasks (only pieces - id, start, length, checksum - leave
+Documents are tokenised in their scan tasks (only pieces - id, start, length, token ids - leave
 them) and range sorted by length, longest first, across all partitions; a piece's rank is its
 partition's offset plus its place there. Packing is bulk synchronous over that order: in each
 superstep all pieces of one length look for the successor gap, the smallest gap that holds
@@ -21,7 +21,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +31,14 @@ from .common import arrow_batches, staged
 
 LIMIT = 4096
 END = 1
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-                     ("ids_crc32", pa.int64())])
+                     ("ids", pa.binary())])
 
 
 def pieces(documents: DataFrame, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """The pieces of every document: ids, then ``end``, cut every ``limit`` tokens."""
+    """The pieces of every document: ids (32 bits each, little-endian), then ``end``,
+    cut every ``limit`` tokens."""
     arrow_batches(documents.sparkSession)
 
     def cut(batches):
@@ -51,7 +51,7 @@ def pieces(documents: DataFrame, limit: int = LIMIT, end: int = END) -> DataFram
                 ids = np.concatenate([ids, tail])
                 for k, at in enumerate(range(0, len(ids), limit)):
                     part = ids[at:at + limit]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
+                    rows.append((doc_id, k, at, len(part), part.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)],
                                                  schema=_SCHEMA)
@@ -110,7 +110,7 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     cut = staged(cut, "packing-pieces")
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tie = F.xxhash64("doc_id", "piece", "ids_crc32")
+    tie = F.xxhash64("doc_id", "piece", F.crc32("ids"))
     order = [F.desc("length"), F.asc("tie")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = staged(cut.withColumn("tie", tie).repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -138,6 +138,12 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ranked.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
 
 
-def packed(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Every document's pieces with their sequence and place."""
+def packed_ids(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Every document's pieces with their token ids, sequence and place."""
     return pack(pieces(documents, limit), limit)
+
+
+def packed(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Every document's pieces with the checksum of their ids, their sequence and place."""
+    return packed_ids(documents, limit).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                                               "sequence_id", "offset")

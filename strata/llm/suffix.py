@@ -27,7 +27,6 @@ as larger than all others; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -412,9 +411,10 @@ def _settle(table: pa.Table) -> pa.Table:
     return _blob_table(rows())
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                         ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
+                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                         ("kept", pa.binary())])
 
 
 def _cut(docs: pa.Table, removed: pa.Table) -> pa.Table:
@@ -427,16 +427,16 @@ def _cut(docs: pa.Table, removed: pa.Table) -> pa.Table:
                                  docs.column("text").to_pylist()):
         a, b = np.searchsorted(runs[0], [row, row + 1])
         if a == b:
-            out.append((doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+            out.append((doc_id, len(text), [], text))
             continue
         step = np.zeros(len(text) + 1, np.int64)
         np.add.at(step, runs[1, a:b], 1)
         np.add.at(step, runs[1, a:b] + runs[2, a:b] + SIZE - 1, -1)
         gone = np.cumsum(step)[:-1] > 0
-        spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        out.append((doc_id, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    cols = list(zip(*out)) if out else [[]] * 5
+        edges = np.nonzero(np.diff(np.concatenate([[False], gone, [False]])))[0].tolist()
+        spans = [{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2])]
+        out.append((doc_id, len(text), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+    cols = list(zip(*out)) if out else [[]] * 4
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT_SCHEMA)], schema=_OUT_SCHEMA)
 
 
@@ -456,8 +456,8 @@ def _shards(documents: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def dedup_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def kept_texts(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the removed spans (byte places, end exclusive) and the kept bytes of every row."""
     arrow_batches(documents.sparkSession)
     docs = _shards(documents)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -473,6 +473,13 @@ def dedup_spans(documents: DataFrame) -> DataFrame:
     return docs.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(lambda a, b: _cut(a, b), _OUT)
 
 
+def dedup_spans(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    return kept_texts(documents).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _table(f):
     """``f`` as a function that Spark sees with one argument."""
     return lambda t: f(t)

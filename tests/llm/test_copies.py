@@ -128,8 +128,18 @@ def test_stretches_that_agree_in_half_their_hash_are_different(monkeypatch):
     late = of(sent, "kind", suffix.STRETCHES)
     gone = pa.concat_tables([of(own, "kind", suffix.RUNS), of(sent, "kind", suffix.RUNS),
                              suffix._settle(late) if late.num_rows else late])
-    got = [tuple(r.values()) for i, d in enumerate(docs) for r in suffix._cut(d, of(gone, "shard", i)).to_pylist()]
-    assert got == list(removed(rows))
+    got = [r for i, d in enumerate(docs) for r in suffix._cut(d, of(gone, "shard", i)).to_pylist()]
+    assert [(r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]),
+             hashlib.sha256(r["kept"]).hexdigest()) for r in got] == list(removed(rows))
+
+
+def test_kept_bytes_and_removed_spans_are_returned(spark):
+    p = "abcdefghij" * 3 + "0123456789" * 3
+    rows = [(1, p), (2, "A" + p + "é" + p[5:] + "B"), (3, None), (4, "é" * 25), (5, "x" + "é" * 25)]
+    out = suffix.kept_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in out.collect()}
+    assert got == {1: (60, [], p.encode()), 2: (119, [(1, 61), (63, 118)], "AéB".encode()), 3: (0, [], b""),
+                   4: (50, [], ("é" * 25).encode()), 5: (51, [(1, 51)], b"x")}
 
 
 def test_suffix_array_and_common_prefixes():

@@ -65,6 +65,20 @@ def test_packing_is_gapless_whole_and_close_to_the_bound(docs, none, library):
     assert packing.packed(none).count() == 0
 
 
+def test_sequences_can_be_put_together_from_the_packed_ids(spark, library):
+    import corpus_pipeline
+    texts = {1: "one two three " * 700, 2: "four", 3: None, 4: "five six " * 2500}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = corpus_pipeline.best_fit_packing(spark, docs, "").collect()
+    sequences, back = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id][r.offset] = bytes(r.ids)
+    whole = {s: np.frombuffer(b"".join(v[k] for k in sorted(v)), "<u4").tolist() for s, v in sequences.items()}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        back[r.doc_id] += whole[r.sequence_id][r.offset:r.offset + r.length]
+    assert back == {i: [*ids_of(library, t), 1] for i, t in texts.items()}
+
+
 def test_plan_equals_sequential_best_fit_decreasing():
     rng = np.random.default_rng(2)
     for _ in range(30):
