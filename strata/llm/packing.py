@@ -2,13 +2,13 @@
 
 Documents are tokenised in their scan tasks (only pieces - id, start, length, token ids - leave
 them) and range sorted by length, longest first, across all partitions; a piece's rank is its
-partition's offset plus its place there. Packing is bulk synchronous over that order: in each
-superstep all pieces of one length look for the successor gap, the smallest gap that holds
-them, among the sequences' gaps in size order; ties for a gap are resolved by rank; the gaps
-shrink and the next superstep follows. Pieces without a gap open new sequences.
+partition's offset plus its place there. The plan is best fit decreasing over the histogram of
+lengths, a sequential loop on the driver: the pieces of one length go to the smallest gap that
+holds them, and open new sequences where there is none. It replaces distributed sweeps over
+range-sorted gaps with conflicts resolved by rank; no such sweeps run on Spark.
 
-Pieces of one length are a run of ranks, and sequences with one gap are a run of numbers, so a
-superstep matches runs, not rows: the plan is at most a few runs for each of the ``limit``
+Pieces of one length are a run of ranks, and sequences with one gap are a run of numbers, so
+the loop matches runs, not rows: the plan is at most a few runs for each of the ``limit``
 lengths, whatever the number of documents. The histogram of lengths (``limit`` rows at most) is
 all that reaches the driver; every piece then finds its run by binary search in its own task.
 No group of pieces is ever gathered.
