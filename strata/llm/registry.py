@@ -68,7 +68,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_table(table(spark, sf_dir, "documents")).drop("n_random")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    from pyspark.sql import functions as F
+
+    from .negatives import hard_negatives
+    e = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    return hard_negatives(e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op4_suffix_dedup,
                                    op5_ppm_scores, op6_token_counts, op7_training_order, op8_simhash,
-                                   op9_url_filter, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+                                   op9_url_filter, op10_secret_scan, op11_hard_negatives)}
+
+#: Brute force in DuckDB, where SQL can express the whole result.
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": """
+    WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, v.vec_id, v.label,
+                 list_inner_product(a.e, v.e)::BIGINT AS score
+          FROM v AS a JOIN v ON len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM s
+          WHERE label = anchor_label AND vec_id <> anchor_id
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id,
+           (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""}
