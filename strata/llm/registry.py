@@ -78,9 +78,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document at a Jaccard similarity of 0.9."""
+    from .jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op4_suffix_dedup,
                                    op5_ppm_scores, op6_token_counts, op7_training_order, op8_simhash,
-                                   op9_url_filter, op10_secret_scan, op11_hard_negatives)}
+                                   op9_url_filter, op10_secret_scan, op11_hard_negatives,
+                                   op13_jaccard_join)}
 
 #: Brute force in DuckDB, where SQL can express the whole result.
 ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": """
@@ -99,4 +106,16 @@ ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": """
            vec_id AS negative_id, positive_score, score AS negative_score
     FROM p JOIN s USING (anchor_id)
     WHERE s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-    QUALIFY rank <= 10"""}
+    QUALIFY rank <= 10""",
+    "op13_jaccard_join": r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+          ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) END AS sh FROM w),
+    u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * both >= 90 * (x.n_shingles + y.n_shingles - both)),
+    r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a)
+    SELECT doc_id, n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = doc_id"""}
