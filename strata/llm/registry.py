@@ -78,6 +78,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over the rebuilt conversations."""
+    from .prefix_trie import conversation_trie
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document at a Jaccard similarity of 0.9."""
     from .jaccard import jaccard_components
@@ -86,7 +92,7 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_quality_rules, op4_suffix_dedup,
                                    op5_ppm_scores, op6_token_counts, op7_training_order, op8_simhash,
-                                   op9_url_filter, op10_secret_scan, op11_hard_negatives,
+                                   op9_url_filter, op10_secret_scan, op11_hard_negatives, op12_prefix_trie,
                                    op13_jaccard_join)}
 
 #: Brute force in DuckDB, where SQL can express the whole result.
@@ -107,6 +113,33 @@ ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": """
     FROM p JOIN s USING (anchor_id)
     WHERE s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
     QUALIFY rank <= 10""",
+    "op12_prefix_trie": """
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+                 xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+                         lambda d: ascii(d)::UBIGINT)),
+                     lambda crc, d: list_reduce([xor(crc, d), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+                         lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)),
+                     4294967295::UBIGINT) % 6 AS h
+          FROM conversations WHERE conv_id IS NOT NULL),
+    r AS (SELECT c.conv_id, 0 AS half, idx, role, text FROM c JOIN t ON t.conv_id = c.base AND idx < h
+          UNION ALL SELECT c.conv_id, 1, idx, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND idx >= h),
+    q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY half, idx) AS depth FROM r),
+    m AS (SELECT conv_id, depth, text, list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM q
+          UNION ALL SELECT conv_id, 0, '', [] FROM c),
+    e AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY 1),
+    n AS (SELECT path, depth, min(m.conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(length(text)) AS size,
+                 sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (last = depth), '')) AS ends_sha256
+          FROM m JOIN e ON e.conv_id = m.conv_id GROUP BY 1, 2),
+    k AS (SELECT p.path, count(*) AS kids, FROM n JOIN n AS p ON n.depth = p.depth + 1 AND n.path[1:p.depth] = p.path GROUP BY 1),
+    b AS (SELECT p.path, sum((k.kids IS NULL)::INT)::BIGINT AS n_leaves, sum((d.n_convs - 1) * d.size)::BIGINT AS saved_tokens
+          FROM n AS p JOIN n AS d ON d.depth >= p.depth AND d.path[1:p.depth] = p.path LEFT JOIN k ON k.path = d.path GROUP BY 1)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+           n_leaves, saved_tokens, n.ends_sha256
+    FROM n JOIN b ON b.path = n.path LEFT JOIN k ON k.path = n.path
+    LEFT JOIN n AS u ON u.depth = n.depth - 1 AND n.path[1:u.depth] = u.path""",
     "op13_jaccard_join": r"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -114,8 +147,8 @@ ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": """
           ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) END AS sh FROM w),
     u AS (SELECT doc_id, unnest(sh) AS g FROM s),
     n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
-    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_common FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
     e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-          WHERE 100 * both >= 90 * (x.n_shingles + y.n_shingles - both)),
+          WHERE 100 * n_common >= 90 * (x.n_shingles + y.n_shingles - n_common)),
     r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a)
     SELECT doc_id, n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = doc_id"""}

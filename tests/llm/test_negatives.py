@@ -32,10 +32,27 @@ def mined(df):
     return sorted(map(tuple, negatives.hard_negatives(df).collect()), key=repr)
 
 
-def test_equals_brute_force_with_edges_and_ties(spark, monkeypatch):
+def test_windows_over_many_tiles(monkeypatch):
     monkeypatch.setattr(negatives, "FIRST_ROWS", 16)
     monkeypatch.setattr(negatives, "TILE_ROWS", 40)
-    monkeypatch.setattr(negatives, "TILE_ANCHORS", 3)
+    rng = np.random.default_rng(4)
+    rows, anchors = (rng.integers(-3, 4, (n, 6)).astype(float) for n in (500, 4))
+    owner, low, high = np.array([0, 0, 1, 2, 2, 2, 3]), np.array([-5., 2, 0, 9, 9, -99, 3]), np.array([20., 2, 7, 8, 12, 99, 30])
+    scores = (anchors @ rows.T).astype(int)
+    even = np.arange(500) % 2 == 0
+    want = []
+    for w, a in enumerate(owner):
+        ok = np.flatnonzero((scores[a] >= low[w]) & (scores[a] <= high[w]) & even)
+        want += [(w, scores[a, r], r) for r in sorted(ok, key=lambda r: (-scores[a, r], r))[:5]]
+    for most in (3, 1 << 22):  # two or more fields, and one
+        got = negatives.search(negatives.Packed(rows, most), anchors, owner, low, high, lambda ai, ri: even[ri], 5)
+        assert [tuple(map(int, x)) for x in zip(*got)] == [tuple(map(int, x)) for x in want]
+    got = negatives.search_wide(negatives.Packed(rows, 3, 8), negatives.unbounded(anchors), owner, low.astype(object),
+                                high.astype(object), lambda ai, ri: even[ri], 5)
+    assert [tuple(map(int, x)) for x in zip(*got)] == [tuple(map(int, x)) for x in want]
+
+
+def test_equals_brute_force_with_edges_and_ties(spark):
     rng = np.random.default_rng(5)
     few = (rng.integers(-2, 3, (12, 8)) / 4).tolist()  # many equal scores
     rows = [(i, few[rng.integers(12)], int(rng.integers(3)), "x", 1) for i in range(0, 700, 3)]
