@@ -12,16 +12,8 @@ threshold. It is computed without comparing all pairs:
 
 1. Identical clean names are one node (ratio 1.0): every later copy follows the same leader
    as the first copy, so only distinct names are compared.
-2. Candidate pairs come from a lossless prefix filter on character bigrams. If the ratio
-   passes, M >= t*L/2 with L = len_a + len_b; matching blocks are in-order common
-   substrings, at most U+1 = L-2M+1 of them, so the two bigram multisets share at least
-   3M - L - 1 >= (1.5t - 1)L - 1 bigrams. With bigrams numbered per occurrence and ordered by global
-   rarity, two multisets that share T elements share one among each's first |X|-T+1
-   (AllPairs / PPJoin). T is taken at the shortest partner length the length bound allows,
-   so it is a lower bound for every partner. Prefix tokens are joined on equality.
-3. Candidates pass the length bound 2*min/L >= t, then the exact ratio (difflib, the one
-   per-pair Python step).
-4. Leaders are resolved by rounds over the edge list until no node is undecided (no round
+2. Candidate pairs and their exact ratio come from :mod:`.names`.
+3. Leaders are resolved by rounds over the edge list until no node is undecided (no round
    cap): a node follows the earliest leader among its earlier neighbours once every earlier
    neighbour before that leader is known to be a follower; it leads once all its earlier
    neighbours are followers. Each round's state is checkpointed to the shared folder.
@@ -29,20 +21,13 @@ threshold. It is computed without comparing all pairs:
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import text as TX
 from ..session import shared_dir
-
-EPS = 1e-9
+from .names import candidate_pairs, name_ratio
 
 
 # ---- exact duplicates -------------------------------------------------------------------
@@ -76,87 +61,6 @@ def exact_removed(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 # ---- near-duplicate names -----------------------------------------------------------------
 
-def m_min(n, t: float):
-    """Smallest match count M with 2*M/n >= t (Column or int n)."""
-    if isinstance(n, int):
-        return max(0, math.ceil(t * n / 2 - EPS))
-    return F.greatest(F.ceil(F.lit(t) * n / 2 - EPS), F.lit(0))
-
-
-def shortest_partner(n, t: float):
-    """Smallest partner length allowed by 2*min/(la+lb) >= t."""
-    if isinstance(n, int):
-        return max(1, math.ceil(n * t / (2 - t) - EPS))
-    return F.greatest(F.ceil(n * F.lit(t / (2 - t)) - EPS), F.lit(1))
-
-
-def overlap_floor(n, t: float):
-    """Shared-bigram lower bound for a name of length n against any admissible partner.
-
-    A passing pair has 3M - L - 1 >= (1.5t - 1)L - 1 shared bigrams with M >= tL/2. The
-    continuous form is used on purpose: it grows with L, so its value at the shortest
-    admissible partner bounds every partner (the ceiled form ceil(tL/2) is not monotone in
-    L and would overstate the floor)."""
-    lo = shortest_partner(n, t)
-    if isinstance(n, int):
-        return math.ceil((1.5 * t - 1.0) * (n + lo) - 1.0 - EPS)
-    return F.ceil(F.lit(1.5 * t - 1.0) * (n + lo) - F.lit(1.0 + EPS))
-
-
-_COUNTS: dict = {}
-_COUNTS_CAP = 200_000
-
-
-def _counts(s: str):
-    """Counts of the name's characters and of its 2-, 3- and 4-grams, cached across rows of
-    a Python worker."""
-    c = _COUNTS.get(s)
-    if c is None:
-        if len(_COUNTS) >= _COUNTS_CAP:
-            _COUNTS.clear()
-        c = _COUNTS[s] = tuple(Counter(s[i:i + q] for i in range(len(s) - q + 1)) for q in (1, 2, 3, 4))
-    return c
-
-
-def _overlap(x: Counter, y: Counter) -> int:
-    if len(x) > len(y):
-        x, y = y, x
-    return sum(min(v, y.get(k, 0)) for k, v in x.items())
-
-
-def ratio_at_least(a: str, b: str, t: float):
-    """difflib's ratio (a first) when it reaches t, else None.
-
-    Exact upper bounds on the matching characters M go first, each compared with the same
-    2.0*M/L arithmetic difflib uses: M <= min(len); M <= the character-multiset
-    intersection (the quantity behind quick_ratio); and, for q = 2, 3, 4,
-    M <= (O_q + (q-1)(L+1)) // (2q-1) with O_q the q-gram multiset intersection: matching
-    blocks are in-order common substrings, at most L - 2M + 1 of them, and a block of n
-    characters holds n-q+1 common q-grams, so O_q >= (2q-1)M - (q-1)(L+1). Only pairs
-    passing every bound build a SequenceMatcher."""
-    la, lb = len(a), len(b)
-    n = la + lb
-    if n == 0 or 2.0 * min(la, lb) / n < t:
-        return None
-    ca, cb = _counts(a), _counts(b)
-    if 2.0 * _overlap(ca[0], cb[0]) / n < t:
-        return None
-    for q in (4, 3, 2):
-        if 2.0 * ((_overlap(ca[q - 1], cb[q - 1]) + (q - 1) * (n + 1)) // (2 * q - 1)) / n < t:
-            return None
-    r = SequenceMatcher(None, a, b).ratio()
-    return r if r >= t else None
-
-
-def name_ratio(t: float):
-    """Arrow-batched ratio UDF. Marked non-deterministic only so that Catalyst does not
-    copy the filter on its result below the projection, which would run difflib twice."""
-    @F.pandas_udf(T.DoubleType())
-    def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio_at_least(x, y, t) for x, y in zip(a, b)], dtype="float64")
-    return _ratio.asNondeterministic()
-
-
 def clean_names(docs: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """(id, clean): non-blank clean names of the files."""
     return docs.select(F.col(id_col).alias("id"), TX.clean_filename(name_col).alias("clean")) \
@@ -169,91 +73,6 @@ def distinct_names(docs: DataFrame, id_col: str, name_col: str, cleaned: DataFra
     return c.groupBy("clean").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def candidate_pairs(names: DataFrame, t: float, positional: bool = False) -> DataFrame:
-    """(a, b, name_a, name_b) with rep a < rep b that may reach ratio t (lossless).
-
-    ``positional`` adds the PPJoin-style bound (shared prefix tokens + the remaining suffix
-    must reach the floor). It halves the candidates on the test data but its extra
-    aggregation cost more than the difflib work it saved at sf0.1 (A/B: 37-42 s vs
-    27-31 s), so it is off by default; it pays when verification dominates."""
-    n = names.select("rep", "clean", F.length("clean").alias("len"))
-    # overlapping bigrams in one linear regex pass (a zero-width lookahead per position);
-    # substring-by-position would rescan the UTF-8 string from its start for every bigram
-    bigrams = F.regexp_extract_all(F.col("clean"), F.lit("(?s)(?=(..))"), 1)
-    tok = n.where(F.col("len") >= 2).select("rep", "len", F.posexplode(bigrams).alias("pos", "bg"))
-    occ = Window.partitionBy("rep", "bg").orderBy("pos")
-    tok = tok.withColumn("token", F.concat("bg", F.lit("#"), F.row_number().over(occ).cast("string")))
-    freq = tok.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = tok.join(freq, "token").withColumn(
-        "r", F.row_number().over(Window.partitionBy("rep").orderBy("freq", "token")))
-    floor_ = overlap_floor(F.col("len"), t)
-    plen = F.when(floor_ <= 0, F.col("len") - 1).otherwise(F.col("len") - 1 - floor_ + 1)
-    shared_dir(names.sparkSession)
-    # per name: its prefix length and the global-order key of its last prefix token
-    key = F.struct("freq", "token")
-    pre = ranked.where(F.col("r") <= plen)
-    last = pre.groupBy("rep").agg(F.max(key).alias("lastkey"), F.count(F.lit(1)).alias("plen"))
-    # read by both sides of the self-join: computed once
-    prefix = pre.select("rep", "len", "token").checkpoint()
-    # Length band as part of the join key: with r = (2-t)/t, a partner of a name of length l
-    # has length in [l, l*r] (taking the shorter name first), so it lies in the same or the
-    # next geometric bucket. The shorter side is emitted into both buckets, the longer into
-    # its own; the exact bound is the join condition. Names of very different lengths never
-    # meet, even on a common token.
-    r = (2 - t) / t
-    bucket = F.floor(F.log(F.col("len").cast("double")) / F.lit(math.log(r))).cast("int") if r > 1 \
-        else F.col("len")
-    a = prefix.select(F.col("rep").alias("ra"), F.col("len").alias("la"), "token",
-                      F.explode(F.array(bucket, bucket + 1)).alias("bk"))
-    b = prefix.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), "token", bucket.alias("bk"))
-    cond = ((a["token"] == b["token"]) & (a["bk"] == b["bk"]) & (a["ra"] != b["rb"]) & (a["la"] <= b["lb"])
-            & (F.lit(2.0) * a["la"] / (a["la"] + b["lb"]) >= F.lit(t)))
-    if not positional:
-        pairs = (a.join(b, cond)
-                  .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
-                          F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-                          F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
-                  .distinct())
-    else:
-        # shared prefix tokens per pair: a plain count (partial aggregation map-side); the
-        # per-name facts are attached afterwards from the one-row-per-name table
-        shared = a.join(b, cond).groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("c"))
-        info = n.select("rep", "len").join(last, "rep")
-        ia = info.select(F.col("rep").alias("ra"), F.col("len").alias("la"), F.col("lastkey").alias("ka"),
-                         F.col("plen").alias("pa"))
-        ib = info.select(F.col("rep").alias("rb"), F.col("len").alias("lb"), F.col("lastkey").alias("kb"),
-                         F.col("plen").alias("pb"))
-        shared = shared.join(ia, "ra").join(ib, "rb")
-        # Positional bound: shared tokens of the name whose prefix ends first in the global order
-        # all lie in both prefixes, except those in its suffix; so overlap <= c + that suffix.
-        suffix = F.when(F.col("ka") <= F.col("kb"), F.col("la") - 1 - F.col("pa")).otherwise(F.col("lb") - 1 - F.col("pb"))
-        need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0 + EPS))
-        pairs = (shared.where(F.col("c") + suffix >= need)
-                       .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"),
-                               F.when(F.col("ra") < F.col("rb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-                               F.when(F.col("ra") < F.col("rb"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
-                       .distinct())
-
-    # names whose bound gives no guarantee (very short) are paired by length band instead
-    short = n.where(overlap_floor(F.col("len"), t) <= 0)
-    if t < 1.0:
-        hi = F.floor(F.col("len") * F.lit((2 - t) / t) + EPS).cast("int")
-        band = short.select("rep", F.explode(F.sequence(shortest_partner(F.col("len"), t).cast("int"), hi)).alias("blen"))
-        others = n.select(F.col("rep").alias("o"), F.col("len").alias("blen"))
-        sp = band.join(others, "blen").where(F.col("rep") != F.col("o")).select(
-            F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
-        ln = n.select("rep", "len")
-        sp = (sp.join(ln.select(F.col("rep").alias("a"), F.col("len").alias("la")), "a")
-                .join(ln.select(F.col("rep").alias("b"), F.col("len").alias("lb")), "b")
-                .select("a", "b", "la", "lb"))
-        pairs = pairs.unionByName(sp).distinct()
-
-    pairs = pairs.where(F.lit(2.0) * F.least("la", "lb") / (F.col("la") + F.col("lb")) >= F.lit(t))
-    names_a = names.select(F.col("rep").alias("a"), F.col("clean").alias("name_a"))
-    names_b = names.select(F.col("rep").alias("b"), F.col("clean").alias("name_b"))
-    return pairs.join(names_a, "a").join(names_b, "b").select("a", "b", "name_a", "name_b")
-
-
 def similar_name_pairs(docs: DataFrame, id_col: str, name_col: str, t: float = K.FUZZY_THRESHOLD,
                        names: DataFrame | None = None) -> DataFrame:
     """JOI4: (a, b, ratio) for distinct clean names (by first id, a < b) with ratio >= t,
@@ -272,51 +91,66 @@ def similar_name_pairs(docs: DataFrame, id_col: str, name_col: str, t: float = K
 
 def resolve_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """DUP1 core. ``nodes``: rep; ``edges``: (a, b) with a < b. Returns (rep, leader) with
-    leader = rep for leaders. Rounds until every node is decided."""
-    spark = nodes.sparkSession
-    shared_dir(spark)
-    has_in = edges.select(F.col("b").alias("rep")).distinct()
-    state = (nodes.select("rep").join(has_in.withColumn("_in", F.lit(True)), "rep", "left")
-                  .select("rep", F.when(F.col("_in").isNull(), F.lit("L")).otherwise(F.lit("U")).alias("status"),
-                          F.when(F.col("_in").isNull(), F.col("rep")).alias("leader")))
-    state = state.checkpoint()
-    while True:
-        undecided = state.where(F.col("status") == "U").select("rep")
-        if undecided.isEmpty():
-            return state.select("rep", "leader")
-        e = edges.join(undecided.select(F.col("rep").alias("b")), "b")
-        e = e.join(state.select(F.col("rep").alias("a"), F.col("status").alias("sa")), "a")
-        agg = e.groupBy("b").agg(
-            F.min(F.when(F.col("sa") == "L", F.col("a"))).alias("min_leader"),
-            F.min(F.when(F.col("sa") == "U", F.col("a"))).alias("min_open"))
-        follow = F.col("min_leader").isNotNull() & (F.col("min_open").isNull() | (F.col("min_open") > F.col("min_leader")))
-        lead = F.col("min_leader").isNull() & F.col("min_open").isNull()
-        upd = agg.select(F.col("b").alias("rep"),
-                         F.when(follow, F.lit("F")).when(lead, F.lit("L")).otherwise(F.lit("U")).alias("s2"),
-                         F.when(follow, F.col("min_leader")).when(lead, F.col("b")).alias("l2"))
-        nxt = (state.join(upd, "rep", "left")
-                    .select("rep", F.coalesce("s2", "status").alias("status"), F.coalesce("l2", "leader").alias("leader")))
-        before = state.where(F.col("status") == "U").count()
-        state = nxt.checkpoint()
-        after = state.where(F.col("status") == "U").count()
-        if after == before:  # cannot happen on an acyclic order; guard against a silent loop
+    leader = rep for leaders. Rounds until every node is decided; a node without an earlier
+    neighbour leads and takes no part in them."""
+    shared_dir(nodes.sparkSession)
+    later = edges.select(F.col("b").alias("rep")).distinct()
+    first = edges.select(F.col("a").alias("rep")).distinct().join(later, "rep", "left_anti")
+    # only nodes with an edge: (rep, leader), leader null while undecided
+    state = (first.select("rep", F.col("rep").alias("leader"))
+             .unionByName(later.select("rep", F.lit(None).cast("long").alias("leader")))).checkpoint()
+    left = state.where("leader is null").count()
+    while left:
+        e = edges.join(state.where("leader is null").select(F.col("rep").alias("b")), "b")
+        e = e.join(state.select(F.col("rep").alias("a"), "leader"), "a")
+        leads, open_ = F.col("leader") == F.col("a"), F.col("leader").isNull()
+        seen = e.groupBy("b").agg(F.min(F.when(leads, F.col("a"))).alias("lead"), F.min(F.when(open_, F.col("a"))).alias("open"))
+        new = seen.select(F.col("b").alias("rep"), F.when(F.col("open").isNull(), F.coalesce("lead", "b"))
+                          .when(F.col("open") > F.col("lead"), F.col("lead")).alias("new"))
+        state = state.join(new, "rep", "left").select("rep", F.coalesce("leader", "new").alias("leader")).checkpoint()
+        before, left = left, state.where("leader is null").count()
+        if left == before:  # cannot happen on an acyclic order; guard against a silent loop
             raise RuntimeError("leader resolution made no progress")
+    return nodes.select("rep").join(state, "rep", "left").select("rep", F.coalesce("leader", "rep").alias("leader"))
 
 
-def fuzzy_groups(docs: DataFrame, id_col: str, name_col: str, t: float = K.FUZZY_THRESHOLD) -> DataFrame:
-    """DUP1: (id, leader_id) for every file the name pass removes (followers only)."""
+def similar_members(docs: DataFrame, id_col: str, name_col: str, t: float = K.FUZZY_THRESHOLD) -> DataFrame:
+    """(id, leader_id, ratio) for every file the name pass removes (followers only); the ratio of
+    its cleaned name to its leader's."""
     spark = docs.sparkSession
     shared_dir(spark)
     # cleaned names, distinct names and edges are each read several times (and by every
     # leader round): cut their lineage once by checkpointing to the shared folder
     cleaned = clean_names(docs, id_col, name_col).checkpoint()
     names = distinct_names(docs, id_col, name_col, cleaned).checkpoint()
-    edges = similar_name_pairs(docs, id_col, name_col, t, names=names).select("a", "b").checkpoint()
-    lead = resolve_leaders(names.select("rep"), edges)
-    name_leader = names.join(lead, "rep").select("clean", "leader")
+    edges = similar_name_pairs(docs, id_col, name_col, t, names=names).checkpoint()
+    lead = resolve_leaders(names.select("rep"), edges.select("a", "b"))
+    to_leader = edges.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "ratio")
+    name_leader = names.join(lead, "rep").join(to_leader, ["rep", "leader"], "left").select("clean", "leader", "ratio")
     # the first copy of a leading name leads; every other file follows its name's leader
     return (cleaned.join(name_leader, "clean").where(F.col("id") != F.col("leader"))
-                   .select(F.col("id").alias(id_col), F.col("leader").alias("leader_id")))
+                   .select(F.col("id").alias(id_col), F.col("leader").alias("leader_id"),
+                           F.coalesce("ratio", F.lit(1.0)).alias("ratio")))
+
+
+def fuzzy_groups(docs: DataFrame, id_col: str, name_col: str, t: float = K.FUZZY_THRESHOLD) -> DataFrame:
+    """DUP1: (id, leader_id) for every file the name pass removes (followers only)."""
+    return similar_members(docs, id_col, name_col, t).select(id_col, "leader_id")
+
+
+def duplicate_report(docs: DataFrame, id_col: str, name_col: str, content_col: str,
+                     t: float = K.FUZZY_THRESHOLD) -> DataFrame:
+    """Every removal of both passes: (kind, kept_name, removed_name, kept_id, removed_id, ratio)."""
+    exact = exact_members(docs, id_col, content_col).where(~F.col("is_kept")).select(
+        F.lit("identical").alias("kind"), F.col("keeper_id").alias("kept_id"), F.col(id_col).alias("removed_id"),
+        F.lit(1.0).alias("ratio"))
+    similar = similar_members(docs, id_col, name_col, t).select(
+        F.lit("similar").alias("kind"), F.col("leader_id").alias("kept_id"), F.col(id_col).alias("removed_id"), "ratio")
+    name = docs.select(id_col, name_col)
+    return (exact.unionByName(similar)
+            .join(name.select(F.col(id_col).alias("kept_id"), F.col(name_col).alias("kept_name")), "kept_id")
+            .join(name.select(F.col(id_col).alias("removed_id"), F.col(name_col).alias("removed_name")), "removed_id")
+            .select("kind", "kept_name", "removed_name", "kept_id", "removed_id", "ratio"))
 
 
 def removal_sets(exact_ids: DataFrame, similar_ids: DataFrame, id_col: str) -> DataFrame:
