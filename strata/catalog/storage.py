@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import chunk as CH
+from ..operators import knn as KNN
 from ..operators import store as ST
 from ..schemas import MESSAGE, STORE_DOCUMENTS
 from ..session import scratch_path
@@ -13,7 +14,7 @@ from ..sinks import files as SK
 from ..sources import files as SF
 from ..sources import tables as TB
 from . import sqlkit as Q
-from ._registry import query
+from ._registry import query, round_doubles
 from .answers import LAST_N
 from .text import _CHUNKS_SQL, MAX_CHUNK, OVERLAP
 
@@ -33,15 +34,57 @@ _INGEST_SQL = f"""WITH {_CHUNKS_SQL}
     WHERE {Q.strip('chunk')} <> ''"""
 
 
+def _ingested(spark, sf):
+    """A fresh store into which every document's chunks were ingested as one batch, again as the same
+    batch (a retried run), and as another batch (known sources)."""
+    root = scratch_path(spark, "store")
+    rows = chunk_store_rows(spark, sf)
+    for batch in ("first", "first", "second"):
+        ST.ingest(spark, root, rows, batch=batch)
+    return root
+
+
 @query("ingest_documents", sql=_INGEST_SQL)
 def ingest_documents(spark, sf):
-    """SNK1: every document's chunks ingested into a fresh store (documents + vectors) and
-    ingested again: deterministic ids and anti-join guarded appends keep one copy."""
+    """SNK1: every document's chunks in a fresh store, ingested three times: a batch replaces
+    itself, and another batch with the same sources adds nothing."""
+    return ST.read_table(spark, f"{_ingested(spark, sf)}/documents", STORE_DOCUMENTS)
+
+
+@query("ingest_vectors", sql=f"""WITH stored AS ({_INGEST_SQL}),
+    v AS {Q.bow('stored', "id || chr(31) || source || chr(31) || embedding_type", 'content')}
+    SELECT split_part(id, chr(31), 1) AS id, split_part(id, chr(31), 2) AS source, split_part(id, chr(31), 3) AS embedding_type,
+           bucket, cnt AS count FROM v""")
+def ingest_vectors(spark, sf):
+    """SNK1, the vectors: what the ingest of every document's chunks has stored, as the non-zero
+    entries of each vector with its id, source and type."""
     root = scratch_path(spark, "store")
-    rows = chunk_store_rows(spark, sf)
-    ST.ingest(spark, root, rows)
-    ST.ingest(spark, root, rows)  # a retried run: adds nothing
-    return ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
+    ST.ingest(spark, root, chunk_store_rows(spark, sf), batch="only")
+    v = ST.read_vectors(spark, root)
+    e = v.select("id", "source", "embedding_type", F.posexplode("embedding").alias("bucket", "w")).where("w > 0")
+    return e.select("id", "source", "embedding_type", F.col("bucket").cast("int").alias("bucket"),
+                    F.col("w").cast("long").alias("count"))
+
+
+_STORED = f"""(SELECT sha256(concat_ws(chr(31), source, lang, doc_id::VARCHAR)) AS id, * FROM documents
+              WHERE {Q.strip("coalesce(text, '')")} <> '')"""
+
+
+@query("store_search", sql=f"""WITH {Q.bow_knn(K.SEARCH_TOP_K, d_table=_STORED, d_id='id', d_filter="lang = 'en'")}
+    SELECT query_id, rank::INTEGER AS rank, h.id, d.text AS content, d.source, d.lang AS embedding_type,
+           round(similarity, 6) AS similarity FROM hits h JOIN {_STORED} d ON d.id = h.id""")
+def store_search(spark, sf):
+    """FLT3/TOP1 on the stored, typed vector table: whole documents are ingested (``lang`` plays the
+    type), then every question searches the vectors of one type, read from their own partitions."""
+    root = scratch_path(spark, "typed-store")
+    d = TB.table(spark, sf, "documents").select(
+        ST.content_id("source", "lang", "doc_id").alias("id"), F.col("text").alias("content"), "source",
+        F.col("lang").alias("embedding_type"), F.lit(K.DEFAULT_PROMPT).alias("prompt"))
+    ST.ingest(spark, root, d, batch="only")
+    hits = KNN.search(ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS), ST.read_vectors(spark, root),
+                      TB.benchmark_queries(spark, sf), K.SEARCH_TOP_K, summary_type="en", require_document=False)
+    return round_doubles(hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "content", "source",
+                                     "embedding_type", "similarity"))
 
 
 @query("store_load", sql="""

@@ -1,10 +1,18 @@
 """The document store and small state tables (SNK1, SNK3, SNK4, SRC5-SRC7, JOI3, JOI6).
 
-Store = two Parquet tables, ``documents`` (id, content, source, embedding_type, prompt) and
-``embeddings`` (id, embedding), under one root. Ids are content hashes, so re-running an
-ingest (a retried task, a re-submitted job) produces the same ids, and every append is
-guarded by an anti join: nothing is written twice, and a run that died between the two
-appends is repaired by the next one.
+Store = three Parquet tables under one root:
+
+* ``documents/batch=<b>`` (id, content, source, embedding_type, prompt),
+* ``embeddings/embedding_type=<t>/batch=<b>`` (id, source, embedding): a search for one type reads
+  the directories of that type alone,
+* ``sources/batch=<b>`` (source): what a batch has brought in, written last.
+
+A batch is written by dynamic partition overwrite: it replaces its own partitions and no others, so
+a batch that runs again (a retried job, a replayed micro-batch, a run that died between two
+tables) leaves one copy of everything. Vectors are encoded from the documents as written, so
+every vector has its document. Rows whose source came with another batch are left out by a join on the
+source names of the batch, which are broadcast after a check of their size. Neither texts nor vectors
+are shuffled.
 
 State tables (progress, chat history) are versioned directories ``<root>/v=<n>``: a new
 version is written in full, then becomes visible by being the highest complete version
@@ -18,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
-from ..schemas import PROGRESS, STORE_DOCUMENTS, STORE_VECTORS
+from ..schemas import PROGRESS, STORE_DOCUMENTS, STORE_SOURCES, VECTOR_TABLE
+from ..session import scratch_path, shared_dir
 from . import encode as EN
 from .answer import last_n
 
@@ -46,29 +55,66 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """SRC5: a store table with its fixed schema, or an empty one when absent."""
     if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     return spark.createDataFrame([], schema)
 
 
-def ingest(spark: SparkSession, root: str, rows: DataFrame, encoder=None) -> None:
-    """SNK1: add ``rows`` (id, content, source, embedding_type, prompt) and their vectors.
-
-    Blank contents are dropped. The batch is persisted for the two guarded appends (a
-    cache only: lost blocks are recomputed from lineage, the written tables are the truth)."""
-    from pyspark import StorageLevel
-    docs_path, vecs_path = f"{root}/documents", f"{root}/embeddings"
-    rows = rows.where(F.col("content").isNotNull() & ~TX.is_blank("content"))
-    rows = rows.select(*[c.name for c in STORE_DOCUMENTS.fields]).dropDuplicates(["id"])
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        old_docs = read_table(spark, docs_path, STORE_DOCUMENTS).select("id")
-        rows.join(old_docs, "id", "left_anti").write.mode("append").parquet(docs_path)
-        old_vecs = read_table(spark, vecs_path, STORE_VECTORS).select("id")
-        todo = rows.join(old_vecs, "id", "left_anti")
-        col = encoder(F.col("content")) if encoder is not None else EN.hashed_bow("content")
-        todo.select("id", col.cast("array<double>").alias("embedding")).write.mode("append").parquet(vecs_path)
-    finally:
-        rows.unpersist()
+#: Bytes of source names that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 64 << 20
+
+
+def read_vectors(spark: SparkSession, root: str, embedding_type: str | None = None) -> DataFrame:
+    """The vectors (id, source, embedding, embedding_type) of a store; those of one type are read from
+    its own directories."""
+    v = read_table(spark, f"{root}/embeddings", VECTOR_TABLE)
+    return v.where(F.col("embedding_type") == embedding_type) if embedding_type else v
+
+
+def unseen(spark: SparkSession, root: str, rows: DataFrame, batch: str, source_col: str = "source") -> DataFrame:
+    """``rows`` without those whose source another batch has brought into the store."""
+    path = f"{root}/sources"
+    if not _exists(spark, path):
+        return rows
+    schema = STORE_SOURCES.add("batch", "string")
+    others = spark.read.schema(schema).parquet(path).where(F.col("batch") != batch).select(F.col("source").alias("_seen"))
+    names = rows.select(F.col(source_col).alias("_seen")).distinct()
+    shared_dir(spark)
+    seen = names.join(others, "_seen", "left_semi").checkpoint()
+    size = seen.agg(F.sum(F.octet_length("_seen"))).first()[0]
+    if size is None:
+        return rows
+    return rows.join(F.broadcast(seen) if size <= MAX_BROADCAST else seen, F.col(source_col) == F.col("_seen"), "left_anti")
+
+
+def _replace(df: DataFrame, path: str, *by: str) -> None:
+    """Write ``df`` by partitions: those that it has rows for are replaced, at the job's commit."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def ingest(spark: SparkSession, root: str, rows: DataFrame, encoder=None, batch: str = "0",
+           check_sources: bool = True) -> None:
+    """SNK1: add ``rows`` (id, content, source, embedding_type, prompt) and their vectors as ``batch``.
+
+    Blank contents are dropped, and of rows with one id one stays. ``check_sources=False`` is for
+    callers that have left out known sources before they cut their texts (:func:`unseen`)."""
+    names = STORE_DOCUMENTS.names
+    if check_sources:
+        rows = unseen(spark, root, rows, batch)
+    rows = rows.where(F.col("content").isNotNull() & ~TX.is_blank("content")).select(*names)
+    own = F.lit(batch).alias("batch")
+    _replace(rows.select(*names, own), f"{root}/documents", "batch")
+    path = f"{root}/documents/batch={batch}"
+    written = read_table(spark, path, STORE_DOCUMENTS)
+    ids = written.agg(F.count("id").alias("n"), F.count_distinct("id").alias("distinct")).first()
+    if ids["n"] != ids["distinct"]:
+        once = scratch_path(spark, "store-once")
+        written.dropDuplicates(["id"]).write.parquet(once)
+        _replace(spark.read.schema(STORE_DOCUMENTS).parquet(once).select("*", own), f"{root}/documents", "batch")
+        written = read_table(spark, path, STORE_DOCUMENTS)
+    col = encoder(F.col("content")) if encoder is not None else EN.hashed_bow("content")
+    vectors = written.select("id", "source", col.cast("array<double>").alias("embedding"), "embedding_type", own)
+    _replace(vectors, f"{root}/embeddings", "embedding_type", "batch")
+    _replace(written.select("source").distinct().select("source", own), f"{root}/sources", "batch")
 
 
 def chunk_rows(chunks: DataFrame, summary_type: str = K.DEFAULT_SUMMARY_TYPE, prompt: str = K.DEFAULT_PROMPT) -> DataFrame:

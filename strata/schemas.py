@@ -13,6 +13,13 @@ STORE_DOCUMENTS = T.StructType([
 STORE_VECTORS = T.StructType([
     T.StructField("id", S), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
+# the vector table: typed and with its source, so that a filter needs no join with the documents
+VECTOR_TABLE = T.StructType([
+    T.StructField("id", S), T.StructField("source", S), T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    T.StructField("embedding_type", S)])
+
+STORE_SOURCES = T.StructType([T.StructField("source", S)])
+
 PROGRESS = T.StructType([T.StructField("source", S), T.StructField("chunks_processed", T.LongType())])
 
 MESSAGE = T.StructType([

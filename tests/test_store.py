@@ -33,12 +33,45 @@ def test_ingest_repairs_missing_vectors(spark):
     root = tmp()
     chunks = spark.createDataFrame([("a.pdf", 0, "one two")], "source string, chunk_no int, chunk string")
     rows = ST.chunk_rows(chunks)
-    rows.select(*[c.name for c in STORE_DOCUMENTS.fields]).write.parquet(f"{root}/documents")   # died mid-way
+    rows.select(*[c.name for c in STORE_DOCUMENTS.fields]).write.parquet(f"{root}/documents/batch=0")  # died
     ST.ingest(spark, root, rows)
     assert ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS).count() == 1
     assert ST.read_table(spark, f"{root}/embeddings", STORE_VECTORS).count() == 1
 
 
+def test_batches_replace_themselves_and_known_sources_are_left_out(spark):
+    root = tmp()
+    rows = lambda *xs: ST.chunk_rows(spark.createDataFrame(xs, "source string, chunk_no int, chunk string"))
+    a, b = ("a.pdf", 0, "one two"), ("b.pdf", 0, "three")
+    ST.ingest(spark, root, rows(a, b, b), batch="x")                    # a row that comes twice
+    ST.ingest(spark, root, rows(a, ("c.pdf", 0, "four")), batch="y")    # a.pdf is known
+    ST.ingest(spark, root, rows(("b.pdf", 0, "three, corrected")), batch="x")  # batch x again: replaced as a whole
+    docs = ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
+    assert sorted(r["content"] for r in docs.collect()) == ["four", "three, corrected"]
+    vecs = ST.read_vectors(spark, root, K.DEFAULT_SUMMARY_TYPE)
+    assert sorted(r["source"] for r in vecs.collect()) == ["b.pdf", "c.pdf"]
+    assert ST.read_vectors(spark, root, "other").count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_shuffles_neither_texts_nor_vectors_and_a_type_is_pruned(spark, monkeypatch):
+    root, plans = tmp(), []
+    write = ST._replace
+    monkeypatch.setattr(ST, "_replace", lambda df, path, *by: (plans.append((path, plan(df))), write(df, path, *by)))
+    rows = ST.chunk_rows(spark.createDataFrame([("a.pdf", 0, "one two")], "source string, chunk_no int, chunk string"))
+    ST.ingest(spark, root, rows, batch="x")
+    ST.ingest(spark, root, rows, batch="y")  # with the join on known sources
+    assert len(plans) == 6
+    for path, p in plans:
+        if not path.endswith("sources"):
+            assert "hashpartitioning" not in p and "RoundRobin" not in p, p
+    scan = plan(ST.read_vectors(spark, root, "finding"))
+    assert "PartitionFilters: [isnotnull(embedding_type" in scan and "finding" in scan
+
+
 def test_missing_store_is_empty(spark):
     assert ST.read_table(spark, f"{tmp()}/nothing", STORE_DOCUMENTS).count() == 0
     assert ST.read_progress(spark, None).count() == 0
