@@ -3,27 +3,29 @@ Structured Streaming jobs; the query returns the sink table they produced."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import store as ST
 from ..schemas import MESSAGE, STORE_DOCUMENTS
 from ..session import scratch_path
-from ..sources import tables as TB
 from ..streaming import jobs as SJ
 from ._registry import query
 from .answers import LAST_N
 from .storage import _INGEST_SQL
 from .text import MAX_CHUNK, OVERLAP
 
-LANDING_FILES = 4
-
 
 @query("stream_ingest", sql=_INGEST_SQL)
 def stream_ingest(spark, sf):
-    """STM1: documents arriving as files, one file per micro-batch, chunked and ingested
-    idempotently into the store; returns the store's documents table."""
-    d = TB.table(spark, sf, "documents")
-    landing = SJ.stage_files(d, scratch_path(spark, "landing-docs"), LANDING_FILES)
-    root = scratch_path(spark, "stream-store")
-    SJ.stream_ingest(spark, landing, d.schema, root, MAX_CHUNK, OVERLAP)
+    """STM1: documents arriving as files, chunked and ingested into the store in two runs of the
+    stream: half of them land before the first run, the others (and again some of the first) before the
+    second, which takes only the new files and leaves out known sources."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    landing, root = scratch_path(spark, "landing-docs"), scratch_path(spark, "stream-store")
+    early = F.col("doc_id") % 2 == 0
+    for part in (d.where(early), d.where(~early | (F.col("doc_id") % 4 == 0))):
+        SJ.land(part, landing)
+        SJ.stream_ingest(spark, landing, d.schema, root, MAX_CHUNK, OVERLAP)
     return ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
 
 
@@ -32,9 +34,12 @@ def stream_ingest(spark, sf):
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
     WHERE rn <= {LAST_N}""")
 def stream_history(spark, sf):
-    """STM2: messages arriving as files in any order; per-conversation state keeps the last 3
-    by turn; returns the newest snapshot of every conversation."""
-    c = TB.table(spark, sf, "conversations").select(*[f.name for f in MESSAGE.fields])
-    landing = SJ.stage_files(c, scratch_path(spark, "landing-msgs"), LANDING_FILES)
-    out = SJ.stream_history(spark, landing, scratch_path(spark, "history-out"), LAST_N)
+    """STM2: messages arriving as files in any order, in two runs of the stream (odd turns before even
+    ones); the state keeps the last 3 by turn of every conversation."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select(*MESSAGE.names)
+    landing, out = scratch_path(spark, "landing-msgs"), scratch_path(spark, "history-out")
+    odd = F.coalesce(F.col("turn") % 2 != 0, F.lit(False))
+    for part in (c.where(odd), c.where(~odd)):
+        SJ.land(part, landing)
+        SJ.stream_history(spark, landing, out, LAST_N)
     return SJ.latest_history(spark, out)

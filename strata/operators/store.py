@@ -138,20 +138,31 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def read_state(spark: SparkSession, root: str, schema) -> DataFrame:
-    v = _versions(spark, root)
+def read_state(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
+    """The highest complete version (below ``before``), or an empty table."""
+    v = [x for x in _versions(spark, root) if before is None or x < before]
     if not v:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/v={v[-1]}")
 
 
-def write_state(spark: SparkSession, root: str, df: DataFrame) -> int:
+def write_state(spark: SparkSession, root: str, df: DataFrame, version: int | None = None) -> int:
+    """Write the next version; a second writer of it fails. A given ``version`` is that of a replayable
+    batch, which replaces what an attempt before has written."""
     v = _versions(spark, root)
-    nxt = (v[-1] + 1) if v else 1
-    df.write.mode("error").parquet(f"{root}/v={nxt}")  # a second writer of a version fails
+    nxt = version if version is not None else v[-1] + 1 if v else 1
+    df.write.mode("error" if version is None else "overwrite").parquet(f"{root}/v={nxt}")
     return nxt
 
 
+def drop_versions(spark: SparkSession, root: str, below: int) -> None:
+    """Delete the versions of a state table below ``below``, but never the highest one."""
+    fs, p = _fs(spark, root)
+    for v in _versions(spark, root)[:-1]:
+        if v < below:
+            fs.delete(p.suffix(f"/v={v}"), True)
+
+
 def read_progress(spark: SparkSession, root: str | None) -> DataFrame:
     """SRC6: (source, chunks_processed); no path or no state gives an empty table."""
     if not root:

@@ -3,36 +3,37 @@
 Both read a landing directory of Parquet files with a fixed schema, keep their progress in a
 checkpoint under the shared folder and run with ``availableNow`` (process what is there,
 then stop), so the same code serves a scheduled batch and a long-running stream. The
-checkpoint belongs to the sink: the next run takes only new files and keeps the state.
+checkpoint belongs to the sink: the next run takes only new files and keeps the state. A micro-batch
+takes files up to a number of bytes, so its tasks grow with the input, not its number of rounds.
 
-STM1 ingest: each micro-batch is chunked and handed to the idempotent store ingest. A batch
-replayed after a failure produces the same ids, and the guarded appends skip them.
+STM1 ingest: each micro-batch is one batch of the store. A batch replayed after a failure replaces its
+own partitions; documents whose source came with an earlier batch are left out before they are
+chunked. No text is shuffled.
 
-STM2 history: ``applyInPandasWithState`` keeps, per conversation, only its last N messages
-(ordered by turn, so late or reordered files give the same result). State per key is
-bounded by N. Each micro-batch appends the updated conversations' snapshots, tagged with the
-batch id, to an output table; readers take the newest snapshot per conversation.
+STM2 history: each micro-batch joins the messages of the version before with the new ones and writes the
+last N of every conversation as the next version, by ``row_number``: no Python runs for a row. A replayed batch starts from the same version and replaces its own. Versions that no
+replay can need are deleted: what stays is the live one and its predecessor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
+from ..operators import answer as A
 from ..operators import chunk as CH
 from ..operators import store as ST
 from ..schemas import MESSAGE
 
 
-def stage_files(df: DataFrame, path: str, n_files: int) -> str:
-    """Land a table as ``n_files`` Parquet files (a stand-in for files arriving over time)."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+BATCH_BYTES = 1 << 30  # of files that one micro-batch takes
+
+
+def land(df: DataFrame, path: str) -> str:
+    """Add a table to a landing folder as it is scanned: a file for each of its splits."""
+    df.write.mode("append").parquet(path)
     return path
 
 
@@ -49,60 +50,44 @@ def _run(writer, checkpoint: str):
     return q
 
 
+def _files(spark: SparkSession, landing: str, schema: T.StructType, batch_bytes: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(landing)
+
+
 def stream_ingest(spark: SparkSession, landing: str, schema: T.StructType, store_root: str,
-                  max_chunk_size: int, overlap: int, files_per_batch: int = 1) -> str:
+                  max_chunk_size: int, overlap: int, batch_bytes: int = BATCH_BYTES) -> str:
     """STM1: documents (doc_id, text, source, ...) arriving as files -> chunks -> store."""
     CH.validate_chunk_params(max_chunk_size, overlap)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        c = CH.sentence_chunks(batch, "text", max_chunk_size, overlap, keep=("doc_id", "source"))
-        c = c.withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-        ST.ingest(batch.sparkSession, store_root, ST.chunk_rows(c))
+        spark_, name = batch.sparkSession, f"stream-{epoch_id}"
+        docs = batch.withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+        docs = ST.unseen(spark_, store_root, docs, name)
+        c = CH.sentence_chunks(docs, "text", max_chunk_size, overlap, keep=("source",))
+        ST.ingest(spark_, store_root, ST.chunk_rows(c), batch=name, check_sources=False)
 
+    src = _files(spark, landing, schema, batch_bytes)
     _run(src.writeStream.foreachBatch(each_batch), checkpoint_of(store_root))
     return store_root
 
 
-_STATE = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())),
-                       T.StructField("roles", T.ArrayType(T.StringType())),
-                       T.StructField("texts", T.ArrayType(T.StringType()))])
-
-
-def _keep_last_n(n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, roles, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
-        msgs = dict(zip(turns, zip(roles, texts)))
-        for pdf in pdfs:
-            for t, r, x in zip(pdf["turn"].tolist(), pdf["role"].tolist(), pdf["text"].tolist()):
-                msgs[int(t)] = (r, x)
-            if len(msgs) > n:  # trim per Arrow batch: a hot conversation never holds more
-                msgs = {t: msgs[t] for t in sorted(msgs)[-n:]}
-        kept = sorted(msgs)[-n:]
-        state.update(([int(t) for t in kept], [msgs[t][0] for t in kept], [msgs[t][1] for t in kept]))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(kept), "turn": kept,
-                            "role": [msgs[t][0] for t in kept], "text": [msgs[t][1] for t in kept]})
-    return fn
-
-
 def stream_history(spark: SparkSession, landing: str, out: str, max_history: int = K.MAX_HISTORY,
-                   files_per_batch: int = 1) -> str:
-    """STM2: messages arriving as files -> last ``max_history`` per conversation."""
-    src = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
-    snap = src.groupBy("conv_id").applyInPandasWithState(
-        _keep_last_n(max_history), MESSAGE, _STATE, "update", GroupStateTimeout.NoTimeout)
-
+                   batch_bytes: int = BATCH_BYTES) -> str:
+    """STM2: messages arriving as files -> last ``max_history`` per conversation. Of messages with one
+    conversation and turn the one that came last stays."""
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        # a replayed batch replaces its own partition
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
-
-    _run(snap.writeStream.outputMode("update").foreachBatch(each_batch), checkpoint_of(out))
+        spark_ = batch.sparkSession
+        old = ST.read_state(spark_, out, MESSAGE, before=epoch_id)
+        both = old.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+        latest = Window.partitionBy("conv_id", "turn").orderBy(F.desc("_new"))
+        once = both.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_new")
+        ST.write_state(spark_, out, A.last_n(once, max_history), version=epoch_id)
+        ST.drop_versions(spark_, out, epoch_id - 1)
+
+    _run(_files(spark, landing, MESSAGE, batch_bytes).writeStream.foreachBatch(each_batch), checkpoint_of(out))
     return out
 
 
 def latest_history(spark: SparkSession, out: str) -> DataFrame:
-    """The newest snapshot of every conversation in the STM2 output."""
-    schema = T.StructType(list(MESSAGE.fields) + [T.StructField("batch_id", T.LongType())])
-    snaps = spark.read.schema(schema).parquet(out)
-    newest = snaps.groupBy("conv_id").agg(F.max("batch_id").alias("batch_id"))
-    return snaps.join(newest, ["conv_id", "batch_id"]).select(*[f.name for f in MESSAGE.fields])
+    """The live version of the STM2 output."""
+    return ST.read_state(spark, out, MESSAGE)
