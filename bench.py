@@ -29,7 +29,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from strata.session import get_spark
     spark = get_spark(f"local[{cpus}]", app="strata-bench", shuffle_partitions=2 * cpus,
-                      extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+                      extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g", "strata.scan.partitions": str(cpus)})
     spark.sparkContext.setLogLevel("ERROR")
     from strata import catalog
     qs = catalog.queries()

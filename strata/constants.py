@@ -39,10 +39,7 @@ STOP_MARK = " <STOP>"
 PROMPT_QUERY_LABEL = "CURRENT QUERY: "
 PROMPT_INFO_LABEL = "AVAILABLE INFORMATION:"
 PROMPT_RESPONSE_LABEL = "RESPONSE: "
-# The system text is a parameter; this neutral default keeps prompts self-describing.
-DEFAULT_SYSTEM_TEXT = ("You synthesize information from the provided sources into one concise paragraph. "
-                       "Use only the text between [CONTEXT START] and [CONTEXT END], cite sources, "
-                       "and end with <STOP>.")
+PANEL_TITLE = "📋 Metadata"
 
 # --- fixed values: extractive (cited) answers --------------------------------------------
 ANSWER_PREFIX = "Based on the available sources, "

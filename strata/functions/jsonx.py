@@ -10,21 +10,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def is_valid_json(c) -> Column:
-    """True iff the whole text is one JSON value; NULL text is not valid.
+def _let(x: Column, fn) -> Column:
+    """Bind ``x`` once for ``fn`` (``transform`` over a one-element array)."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
+def parse(c) -> Column:
+    """The text as VARIANT; NULL unless the whole text is one JSON value.
 
-    The parser ignores what follows the first value, so the text is parsed inside an array,
-    which must hold one element (no second value), and inside an object, which must close
-    (no trailing text). ``NaN`` and ``Infinity`` are not JSON and are not valid."""
+    One parse decides both: the parser ignores what follows a value, so the text is parsed as the
+    first of two elements of an array whose second is the text's own hash. Only if the text is one
+    value are there two elements, the hash the second. ``NaN`` and ``Infinity`` are not JSON."""
     x = _c(c)
-    only = F.size(F.variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")) == 1
-    closed = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}"))).isNotNull()
-    return F.coalesce(only & closed, F.lit(False))
+    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), F.md5(x), F.lit('"]')))
+    return _let(F.variant_get(both, "$", "array<variant>"), lambda a: F.when(
+        (F.size(a) == 2) & (F.try_variant_get(a[1], "$", "string") == F.md5(x)), a[0]))
 
 
-def parse(c) -> Column:
-    """The text as VARIANT; NULL unless the whole text is one JSON value."""
-    return F.when(is_valid_json(c), F.try_parse_json(_c(c)))
+def is_valid_json(c) -> Column:
+    """True iff the whole text is one JSON value; NULL text is not valid."""
+    return parse(c).isNotNull()
 
 
 def inject_field(c, key: str, value) -> Column:
@@ -32,5 +37,5 @@ def inject_field(c, key: str, value) -> Column:
 
     Values keep their JSON types (a map of VARIANT), and the injected key wins over an
     existing one (``spark.sql.mapKeyDedupPolicy=LAST_WIN``, set by the session helper)."""
-    m = F.when(is_valid_json(c), F.from_json(_c(c), "map<string, variant>"))
+    m = F.when(is_valid_json(c), F.from_json(_c(c), "map<string, variant>"))  # keeps the order of the keys
     return F.to_json(F.map_concat(m, F.create_map(F.lit(key), _c(value).cast("variant"))))

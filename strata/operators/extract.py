@@ -13,35 +13,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import jsonx as J
 from ..functions import text as TX
-from ..schemas import ENVELOPE, PAPER
-
-
-def parse_envelopes(df: DataFrame, line_col: str = "line") -> DataFrame:
-    """Envelope text -> (content, source_file, processed_at, summary_type, prompt, valid).
-
-    A missing ``prompt`` becomes '' and a missing ``summary_type`` 'finding' (the ingest
-    defaults); ``valid`` is false for a line that is not JSON or whose content is not JSON,
-    which the caller routes to quarantine instead of failing the job."""
-    parsed = df.select("*", F.from_json(F.col(line_col), ENVELOPE).alias("_env"))
-    env = F.col("_env")
-    content = TX.strip_code_fence(env["content"])
-    out = parsed.select(
-        *df.columns,
-        content.alias("content"),
-        env["metadata"]["source_file"].alias("source_file"),
-        env["metadata"]["processed_at"].alias("processed_at"),
-        F.coalesce(env["metadata"]["summary_type"], F.lit(K.DEFAULT_SUMMARY_TYPE)).alias("summary_type"),
-        F.coalesce(env["metadata"]["prompt"], F.lit(K.DEFAULT_PROMPT)).alias("prompt"))
-    return out.withColumn("valid", env_ok(line_col) & J.is_valid_json("content"))
-
-
-def env_ok(line_col: str):
-    return J.is_valid_json(F.col(line_col))
+from ..schemas import PAPER
 
 
 def envelope_columns(raw: DataFrame) -> DataFrame:
-    """The same columns as ``parse_envelopes`` for rows read by the JSON-lines reader
-    (``content``, ``metadata`` struct, ``_corrupt``)."""
+    """Envelope rows as the JSON-lines reader gives them (``content``, ``metadata`` struct, ``_corrupt``) ->
+    (content, source_file, processed_at, summary_type, prompt, valid).
+
+    A missing ``prompt`` becomes '' and a missing ``summary_type`` 'finding' (the ingest defaults);
+    ``valid`` is false for a line that is not JSON or whose content is not JSON, which the caller
+    routes to quarantine instead of failing the job."""
     content = TX.strip_code_fence(F.col("content"))
     cols = [c for c in raw.columns if c not in ("content", "metadata", "_corrupt")]
     out = raw.select(

@@ -13,6 +13,11 @@ from ..operators import encode as EN
 from ..operators import knn
 
 
+#: What a caller that has no instructions of its own tells the generator.
+INSTRUCTIONS = ("Answer the question in a few sentences. Rely on the listed information alone, name the source of "
+                "every statement, and say so if the information does not answer the question.")
+
+
 @dataclass
 class Answers:
     hits: DataFrame       # query_id, rank, id, similarity, content, source, embedding_type
@@ -24,7 +29,7 @@ class Answers:
 def answer_questions(questions: DataFrame, docs: DataFrame, vectors: DataFrame, *, k: int = K.ANSWER_TOP_K,
                      min_similarity: float = K.MIN_SIMILARITY, summary_type: str | None = None,
                      generated: DataFrame | None = None, encoder=None,
-                     system_text: str = K.DEFAULT_SYSTEM_TEXT) -> Answers:
+                     system_text: str = INSTRUCTIONS) -> Answers:
     """``questions``: query_id, query. ``docs``/``vectors``: the store tables. ``generated``
     (query_id, generated) is the caller's generator output; without it the best relevant
     hit's content stands in. Every question keeps a row in ``prompts`` and ``answers``."""

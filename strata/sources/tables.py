@@ -16,22 +16,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+#: Session setting: partitions to which the scan of a given table is dealt out. Unset (as on a cluster,
+#: where tables have many splits) scans stay as they are; a local session whose tables are single row
+#: groups sets it to its number of cores.
+SCAN_PARTITIONS = "strata.scan.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small-input parallelism guard: a file that is a single Parquet row group scans as one
-    task, which would run all per-row text work on one core. Only when a scan has fewer
-    splits than the session's parallelism is it spread round-robin; a large input (many
-    splits) is left untouched, so at scale this adds no shuffle. Filters and column pruning
-    still push through the repartition into the scan."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
-        return df
-    return df.repartition(par) if n < par else df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
