@@ -14,6 +14,8 @@ depend on summation order (BLAS blocking, engine, partitioning).
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,57 +23,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed values: token pattern (letters, digits, underscore) and default dimension
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
+# fixed values: token pattern (letters, digits, underscore: what Python's \w is on str) and dimension
+TOKEN_PATTERN = r"\w+"
 DEFAULT_DIM = 64
 
-
-def _token_re():
-    import regex
-    return regex.compile(TOKEN_PATTERN)
+FLUSH_TOKENS = 1 << 16       # tokens held as Python objects at once
+_BUCKETS_CAP = 1 << 18       # tokens whose bucket a worker keeps
+_FIND = re.compile(TOKEN_PATTERN).finditer
 
 
 def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-_BUCKETS: dict = {}          # dim -> {token: bucket}, kept across batches in a reused Python worker
-_BUCKETS_CAP = 2_000_000
-_RX = None
+class _Buckets(dict):
+    """token -> bucket, kept across batches in a reused Python worker."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        b = token_bucket(token, self.dim)
+        if len(self) < _BUCKETS_CAP:
+            self[token] = b
+        return b
+
+
+_KEPT: dict = {}             # dim -> its buckets
 
 
 def encode_matrix(texts, dim: int = DEFAULT_DIM):
-    """Count matrix (len(texts) x dim) of a batch plus its NULL mask: every token of every
-    text is looked up once, and one ``np.bincount`` over row*dim+bucket fills the matrix."""
-    global _RX
-    if _RX is None:
-        _RX = _token_re()
-    findall = _RX.findall
-    cache = _BUCKETS.setdefault(dim, {})
-    if len(cache) > _BUCKETS_CAP:
-        cache.clear()
-    get = cache.get
-    rows, toks = [], []
+    """Count matrix (len(texts) x dim) of a batch plus its NULL mask. The buckets of FLUSH_TOKENS tokens
+    at a time, of one text or of many, are added by one ``np.bincount`` over row*dim+bucket, so what is
+    held does not grow with the texts."""
+    bucket = _KEPT.setdefault(dim, _Buckets(dim)).__getitem__
+    m = np.zeros(len(texts) * dim)
     nulls = np.zeros(len(texts), dtype=bool)
+    rows, buckets, first = [], [], 0
+
+    def flush(last):
+        flat = np.asarray(rows, dtype=np.int64) * dim + np.asarray(buckets, dtype=np.int64)
+        m[first * dim:(last + 1) * dim] += np.bincount(flat - first * dim, minlength=(last + 1 - first) * dim)
+        rows.clear()
+        buckets.clear()
     for r, t in enumerate(texts):
         if t is None:
             nulls[r] = True
             continue
-        tt = findall(t.lower())
-        toks.extend(tt)
-        rows.extend([r] * len(tt))
-    bs = [get(tok) for tok in toks]
-    if None in bs:
-        for i, b in enumerate(bs):
-            if b is None:
-                tok = toks[i]
-                b = get(tok)
-                if b is None:
-                    b = cache[tok] = token_bucket(tok, dim)
-                bs[i] = b
-    flat = np.asarray(rows, dtype=np.int64) * dim + np.asarray(bs, dtype=np.int64)
-    m = np.bincount(flat, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
-    return m, nulls
+        found = _FIND(t.lower())
+        while True:
+            part = [bucket(x.group()) for x in islice(found, FLUSH_TOKENS - len(buckets))]
+            buckets += part
+            rows += [r] * len(part)
+            if len(buckets) < FLUSH_TOKENS:
+                break
+            flush(r)
+            first = r
+    if buckets:
+        flush(len(texts) - 1)
+    return m.reshape(len(texts), dim), nulls
+
+
+class _Texts:
+    """The texts of an Arrow array, each as a Python string only while it is read."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def __len__(self):
+        return len(self.column)
+
+    def __iter__(self):
+        for at in range(0, len(self.column), 64):
+            yield from self.column.slice(at, 64).to_pylist()
 
 
 def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
@@ -82,7 +107,7 @@ def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def _encode(s: pa.Array) -> pa.Array:
-        m, nulls = encode_matrix(s.to_pylist(), dim)
+        m, nulls = encode_matrix(_Texts(s), dim)
         offsets = pa.array(np.arange(0, (len(m) + 1) * dim, dim, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(nulls))
 
@@ -91,11 +116,18 @@ def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
 
 def model_encoder(make_predict_fn, dim: int, batch_size: int = 64):
     """Wrap a real batch model (``make_predict_fn() -> fn(np.ndarray[str]) -> np.ndarray``)
-    as a Column function with the same contract as ``hashed_bow``."""
+    as a Column function with the same contract as ``hashed_bow``: ``array<double>`` of length ``dim``,
+    NULL for a NULL text. The model is made once a worker and sees ``batch_size`` texts at a time, never
+    a NULL; a vector of another length fails the task."""
     from pyspark.ml.functions import predict_batch_udf
 
-    return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                             batch_size=batch_size, input_tensor_shapes=None)
+    predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+
+    def encode_column(text: Column) -> Column:
+        vec = predict(F.coalesce(text, F.lit("")))
+        right = F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.lit(f"the model's vectors are not of length {dim}")))
+        return F.when(text.isNotNull(), right)
+    return encode_column
 
 
 def encode(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = DEFAULT_DIM,
