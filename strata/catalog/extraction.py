@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as TX
 from ..operators import extract as X
 from ..session import scratch_path
 from ..sinks import files as SK
 from ..sources import adapter as AD
+from ..sources import extraction_files as EF
 from ..sources import files as SF
 from ..sources import tables as TB
 from . import sqlkit as Q
@@ -158,3 +160,23 @@ def extraction_jsonl_roundtrip(spark, sf):
     raw = SF.read_extractions(spark, path, glob="*.txt", partition_col="source")
     return raw.groupBy("source").agg(F.count(F.lit(1)).alias("n_envelopes"),
                                      F.countDistinct("metadata.source_file").alias("n_files"))
+
+
+@query("extraction_files", sql=f"""WITH {PAPERS_SQL}
+    SELECT doc_id::VARCHAR || '{K.EXTRACTION_SUFFIX}' AS file_name, 1::BIGINT AS line_no, source_file, '{AD.SUMMARY_TYPE}' AS summary_type,
+           '' AS prompt, title, NULL::VARCHAR AS quarantined FROM pp
+    UNION ALL SELECT doc_id::VARCHAR || '{K.EXTRACTION_SUFFIX}', 2, NULL, NULL, NULL, NULL, '{{"content": ' || doc_id::VARCHAR
+    FROM documents WHERE doc_id % 7 = 0""")
+def extraction_files(spark, sf):
+    """SRC1/SNK2: one file <stem>_gemini.jsonl for each source, read back by its glob with line numbers; a
+    line that is not JSON (a second one for every seventh document) is quarantined, the file's
+    other line is not."""
+    good = AD.envelopes(TB.table(spark, sf, "documents")).select(AD.source_file_col().alias("source_file"), "doc_id", "line")
+    cut = good.where("doc_id % 7 = 0").withColumn("line", F.concat(F.lit('{"content": '), F.col("doc_id").cast("string")))
+    lines = good.withColumn("n", F.lit(1)).unionByName(cut.withColumn("n", F.lit(2)))
+    path = scratch_path(spark, "extraction-files")
+    EF.write_files(lines.select(TX.file_stem("source_file").alias("stem"), "line", "n"), path, order_col="n")
+    env = X.with_paper(X.envelope_columns(SF.read_extraction_files(spark, path)))
+    ok = lambda c: F.when(F.col("valid"), F.col(c))
+    return env.select("file_name", "line_no", ok("source_file").alias("source_file"), ok("summary_type").alias("summary_type"),
+                      ok("prompt").alias("prompt"), ok("paper.metadata.title").alias("title"), F.col("_corrupt").alias("quarantined"))

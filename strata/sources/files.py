@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import jsonx as J
 from ..functions import text as TX
 from ..schemas import ENVELOPE
+from . import extraction_files as EF
 
 
 def read_extractions(spark: SparkSession, path: str, glob: str = K.EXTRACTION_GLOB,
@@ -23,12 +24,22 @@ def read_extractions(spark: SparkSession, path: str, glob: str = K.EXTRACTION_GL
     extra = [T.StructField(partition_col, T.StringType())] if partition_col else []
     lines = (spark.read.schema(T.StructType([T.StructField("value", T.StringType()), *extra]))
              .option("pathGlobFilter", glob).text(path).where(F.trim("value") != ""))
+    return parse_envelope_lines(lines, "value", [f.name for f in extra])
+
+
+def read_extraction_files(spark: SparkSession, path: str, glob: str = K.EXTRACTION_GLOB) -> DataFrame:
+    """SRC1 by file: as :func:`read_extractions`, with the file name and line number of every line."""
+    return parse_envelope_lines(EF.read_lines(spark, path, glob), "line", ["file_name", "line_no"])
+
+
+def parse_envelope_lines(lines: DataFrame, line_col: str, keep: list[str]) -> DataFrame:
+    """Envelope columns of each line, ``_corrupt`` for one that is not JSON, and the columns to keep."""
     fields = [f for f in ENVELOPE.fields if f.name != "_corrupt"]
-    ok = J.is_valid_json("value")
-    lines = lines.select(F.when(ok, F.from_json("value", T.StructType(fields))).alias("env"),
-                         F.when(~ok, F.col("value")).alias("_corrupt"), *[f.name for f in extra])
+    ok = J.is_valid_json(line_col)
+    lines = lines.select(F.when(ok, F.from_json(line_col, T.StructType(fields))).alias("env"),
+                         F.when(~ok, F.col(line_col)).alias("_corrupt"), *keep)
     return lines.select(*[F.col(f"env.{f.name}") if f.name != "_corrupt" else F.col("_corrupt")
-                          for f in ENVELOPE.fields], *[f.name for f in extra])
+                          for f in ENVELOPE.fields], *keep)
 
 
 def read_raw_lines(spark: SparkSession, path: str, glob: str = "*", partition_col: str | None = None) -> DataFrame:
