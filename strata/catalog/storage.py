@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as TX
 from ..operators import chunk as CH
 from ..operators import knn as KNN
 from ..operators import store as ST
 from ..schemas import MESSAGE, STORE_DOCUMENTS
 from ..session import scratch_path
+from ..plans import ingest as PI
 from ..sinks import files as SK
+from ..sources import extraction_files as EF
 from ..sources import files as SF
 from ..sources import tables as TB
 from . import sqlkit as Q
 from ._registry import query, round_doubles
 from .answers import LAST_N
-from .text import _CHUNKS_SQL, MAX_CHUNK, OVERLAP
+from .text import _CHUNKS_SQL, MAX_CHUNK, OVERLAP, PAGE_CHUNKS_SQL
 
 
 def chunk_store_rows(spark, sf):
@@ -105,23 +108,54 @@ def pending_sources(spark, sf):
 
 
 @query("progress_upsert", sql=f"""WITH {_CHUNKS_SQL},
-    old AS (SELECT d.source, count(*)::BIGINT AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1),
-    upd AS (SELECT source, count(*)::BIGINT AS n FROM chunks WHERE lang = 'en' GROUP BY 1)
-    SELECT source, n AS chunks_processed FROM upd
-    UNION ALL SELECT source, n FROM old WHERE source NOT IN (SELECT source FROM upd)""")
+    old AS (SELECT d.source, count(*)::BIGINT AS n, 0 AS step FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1
+            UNION ALL SELECT source, count(*), 1 FROM chunks WHERE lang IS DISTINCT FROM 'en' GROUP BY 1
+            UNION ALL SELECT source, count(*), 2 FROM chunks WHERE lang = 'en' GROUP BY 1)
+    SELECT source, arg_max(n, step) AS chunks_processed FROM old GROUP BY 1""")
 def progress_upsert(spark, sf):
-    """SNK3/SRC6: progress per source. The first state counts labelled documents; an
-    update with the English chunk counts replaces those sources (last write wins)."""
+    """SNK3/SRC6: progress per source. The first state counts labelled documents; two updates with
+    the chunk counts of all documents, first of the other languages, then of the English ones,
+    replace their sources (last write wins)."""
     root = scratch_path(spark, "progress")
     d = TB.table(spark, sf, "documents")
-    old = d.join(TB.table(spark, sf, "labels"), "doc_id").groupBy("source").agg(
-        F.count(F.lit(1)).alias("chunks_processed"))
-    ST.upsert_progress(spark, root, old)
-    en = CH.sentence_chunks(d.where(F.col("lang") == "en"), "text", MAX_CHUNK, OVERLAP, keep=("source",))
-    ST.upsert_progress(spark, root, en.groupBy("source").agg(F.count(F.lit(1)).alias("chunks_processed")))
+    ST.upsert_progress(spark, root, d.join(TB.table(spark, sf, "labels"), "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("chunks_processed")))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (d.where(~english), d.where(english)):
+        c = CH.sentence_chunks(part, "text", MAX_CHUNK, OVERLAP, keep=("source",))
+        ST.upsert_progress(spark, root, c.groupBy("source").agg(F.count(F.lit(1)).alias("chunks_processed")))
     return ST.read_progress(spark, root)
 
 
+@query("ingest_pages", sql=f"""WITH p AS ({PAGE_CHUNKS_SQL})
+    SELECT sha256(concat_ws(chr(31), url, '{K.DEFAULT_SUMMARY_TYPE}', '', p.page_id::VARCHAR, text)) AS id, text AS content,
+           url AS source, '{K.DEFAULT_SUMMARY_TYPE}' AS embedding_type, '' AS prompt
+    FROM p JOIN pages ON pages.page_id = p.page_id""")
+def ingest_pages(spark, sf):
+    """FLT1/SNK1: the page chunks of every web page in the store, its url the source."""
+    root = scratch_path(spark, "page-store")
+    p = TB.table(spark, sf, "pages").select(F.col("url").alias("source"), F.col("page_id").alias("page_no"),
+                                            TX.html_to_text("html").alias("raw"))
+    PI.ingest_pages(spark, p, root, text_col="raw")
+    return ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
+
+
+@query("ingest_raw_lines", sql=f"""WITH ln AS (
+        SELECT doc_id::VARCHAR || '{K.EXTRACTION_SUFFIX}' AS source, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    st AS (SELECT source, line_no, {Q.strip('line')} AS content FROM ln)
+    SELECT sha256(concat_ws(chr(31), source, '{K.DEFAULT_SUMMARY_TYPE}', '', line_no::VARCHAR, content)) AS id, content, source,
+           '{K.DEFAULT_SUMMARY_TYPE}' AS embedding_type, '' AS prompt FROM st WHERE content <> ''""")
+def ingest_raw_lines(spark, sf):
+    """SRC2/FLT2/SNK1: every document as a file of its own, whose non-blank lines are stored one by
+    one with the file as their source."""
+    path, root = scratch_path(spark, "line-files"), scratch_path(spark, "line-store")
+    d = TB.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.col("text").alias("line"))
+    EF.write_files(d, path)
+    PI.ingest_raw_lines(spark, path, root)
+    return ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS)
+
+
 @query("history_append", sql=f"""
     SELECT conv_id, turn, role, text FROM (
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)

@@ -54,10 +54,13 @@ def _html_sql(x: str) -> str:
     return s
 
 
-@query("page_chunks", sql=f"""
+PAGE_CHUNKS_SQL = f"""
     WITH t AS (SELECT page_id, {_STRIP(_html_sql('html'))} AS text FROM pages)
     SELECT page_id, text, n_words::INTEGER AS n_words
-    FROM (SELECT *, {Q.word_count('text')} AS n_words FROM t) WHERE n_words > {K.PAGE_MIN_WORDS}""")
+    FROM (SELECT *, {Q.word_count('text')} AS n_words FROM t) WHERE n_words > {K.PAGE_MIN_WORDS}"""
+
+
+@query("page_chunks", sql=PAGE_CHUNKS_SQL)
 def page_chunks(spark, sf):
     """FLT1: page text (markup removed), stripped, kept iff it has more than 20 words."""
     p = TB.table(spark, sf, "pages")

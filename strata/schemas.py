@@ -26,6 +26,9 @@ MESSAGE = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("role", S), T.StructField("text", S)])
 
+# a message with its time, in seconds as text
+TIMED_MESSAGE = T.StructType([*MESSAGE.fields, T.StructField("ts", S)])
+
 # Extraction envelope: one JSON line per processed source file. ``content`` is itself a
 # JSON string (the paper record); prompt and summary_type are optional on read.
 ENVELOPE = T.StructType([

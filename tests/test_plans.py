@@ -74,3 +74,32 @@ def test_pages_are_whole_files_of_bounded_size(spark, tmp_path):
     assert max(f["value"].count("<pre>") for f in files) < 200
     found = R.read_html_pages(spark, str(tmp_path / "pages")).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in found} == {None: 1200, "s": 5}
+
+
+def test_pages_and_raw_lines_reach_the_store(spark, tmp_path):
+    root = str(tmp_path / "store")
+    long = " ".join(f"w{i}" for i in range(21))
+    pages = spark.createDataFrame([("a.html", 1, f"  {long}\n"), ("a.html", 2, long[:-4]), ("b.html", 1, None), ("b.html", 2, long)],
+                                  "source string, page_no int, text string")
+    ingest.ingest_pages(spark, pages, root, batch="pages")
+    (tmp_path / "p_gemini.jsonl").write_text("{line}\n\n  twice \ntwice\n")
+    ingest.ingest_raw_lines(spark, str(tmp_path), root, batch="lines")
+    rows = ST.read_table(spark, f"{root}/documents", STORE_DOCUMENTS).collect()
+    assert sorted((r["source"], r["content"]) for r in rows) == [
+        ("a.html", long), ("b.html", long), ("p_gemini.jsonl", "twice"), ("p_gemini.jsonl", "twice"), ("p_gemini.jsonl", "{line}")]
+    assert len({r["id"] for r in rows}) == 5 and ST.read_vectors(spark, root).count() == 5
+
+
+def test_questions_and_answers_follow_the_conversation(spark, tmp_path):
+    from strata.plans import chat
+    from strata.schemas import TIMED_MESSAGE
+    root = str(tmp_path / "log")
+    old = spark.createDataFrame([(1, 0, "user", "hello", "5.0"), (1, 1, "assistant", "hi", "6.0")], TIMED_MESSAGE)
+    ST.append_history(spark, root, old, TIMED_MESSAGE, 5)
+    q = spark.createDataFrame([(1, 8, "why?"), (1, 7, "what?"), (2, 9, "how?")], "conv_id long, query_id long, query string")
+    a = spark.createDataFrame([(7, "that"), (8, "so"), (9, None)], "query_id long, answer string")
+    chat.log_answers(spark, root, q, a, F.lit(9.5), 5)
+    got = sorted(tuple(r) for r in ST.read_state(spark, root, TIMED_MESSAGE).collect())
+    assert got == [(1, 1, "assistant", "hi", "6.0"), (1, 2, "user", "what?", "9.5"), (1, 3, "assistant", "that", "9.5"),
+                   (1, 4, "user", "why?", "9.5"), (1, 5, "assistant", "so", "9.5"), (2, 0, "user", "how?", "9.5"),
+                   (2, 1, "assistant", None, "9.5")]
