@@ -17,6 +17,8 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,6 @@ from .common import fresh, staged
 #: (host, path, verdict): fits the host and its subdomains and paths that start with the path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
          ("org", "/fr/", "allow"))
-#: Path levels of the tree; deeper segments are judged together as one.
-DEPTH = 12
 #: Pages of a literal segment, however many its node has.
 MIN_PAGES = 20
 #: A sibling differs if its deviate is at least this.
@@ -57,16 +57,26 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, path, bad: boolean or null, other columns) with a column ``template``."""
-    segs, seg = fresh(pages, "segments", "segment")
-    parts = F.array_remove(F.split("path", "/", -1), "")
-    deep = F.when(F.size(segs) > DEPTH, F.concat(F.slice(segs, 1, DEPTH - 1), F.array(F.array_join(F.slice(
-        segs, DEPTH, F.greatest(F.size(segs) - DEPTH + 1, F.lit(1))), "/")))).otherwise(F.col(segs))
-    rows = staged(pages.withColumn(segs, parts).withColumn(segs, deep).withColumn("template", F.lit("")), "url-pages")
-    depth = rows.agg(F.max(F.size(segs))).first()[0] or 0
-    for level in range(depth):
-        rows = rows.withColumn(seg, F.get(segs, F.lit(level)))
-        child = staged(rows.where(F.col(seg).isNotNull()).groupBy("host", "template", seg).agg(
+    """``pages`` (host, path, bad: boolean or null, other columns) with a column ``template``.
+
+    Level by level, until no node is left that could have a literal branch: a node with fewer pages than
+    a branch needs and a sibling takes wildcards to the end of its pages' paths."""
+    segs, seg, size = fresh(pages, "segments", "segment", "node_size")
+    rows = staged(pages.withColumn(segs, F.array_remove(F.split("path", "/", -1), "")).withColumn("template", F.lit("")),
+                  "url-pages")
+    done, level = [], 0
+    while True:
+        # rows whose path goes on, in nodes that can still branch
+        nodes = rows.where(F.size(segs) > level).groupBy("host", "template").agg(F.count(F.lit(1)).alias(size))
+        grows = staged(nodes.where(F.col(size) > MIN_PAGES).select("host", "template", F.lit(True).alias(size)), "url-nodes")
+        marked = rows.join(grows, ["host", "template"], "left")
+        goes_on = F.coalesce(F.col(size), F.lit(False)) & (F.size(segs) > level)
+        rest = F.repeat(F.lit("/*"), F.greatest(F.size(segs) - level, F.lit(0)))
+        done.append(marked.where(~goes_on).withColumn("template", F.concat("template", rest)).drop(size))
+        if grows.limit(1).count() == 0:
+            break
+        rows = marked.where(goes_on).drop(size).withColumn(seg, F.get(segs, F.lit(level)))
+        child = staged(rows.groupBy("host", "template", seg).agg(
             F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"),
             F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("hit")), "url-children")
         node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"),
@@ -81,10 +91,10 @@ def templates(pages: DataFrame) -> DataFrame:
             (F.col("n") >= MIN_PAGES) & differs).select(
             "host", "template", seg, F.lit(True).alias("literal"))
         rows = rows.join(literal, ["host", "template", seg], "left")
-        step = F.when(F.col(seg).isNull(), "").otherwise(F.concat(F.lit("/"), F.when(
-            F.col("literal"), F.col(seg)).otherwise("*")))
+        step = F.concat(F.lit("/"), F.when(F.col("literal"), F.col(seg)).otherwise("*"))
         rows = staged(rows.withColumn("template", F.concat("template", step)).drop("literal", seg), "url-templates")
-    return rows.drop(segs)
+        level += 1
+    return reduce(lambda x, y: x.unionByName(y), done).drop(segs)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -172,3 +173,60 @@ def test_leak_edges(spark, edge, none, given):
     found = collections.Counter((r.doc_id, r.item_id) for r in decontam.leaks(edge, odd).collect())
     assert found == {(None, 3): 1, (5, None): 2}
     assert len(EDGE) - 3 == decontam.drop_leaks(edge, odd).count()
+
+
+def grown(pages):
+    """Templates by recursion over plain lists: (page index) -> host, template."""
+    out = {}
+
+    def grow(host, rows, template, level):
+        on = [r for r in rows if len(r[1]) > level]
+        for i, segs, _ in rows:
+            if len(segs) <= level:
+                out[i] = (host, template)
+        kids = {}
+        for r in on:
+            kids.setdefault(r[1][level], []).append(r)
+
+        def labels(rs):
+            return sum(r[2] is not None for r in rs), sum(r[2] is True for r in rs)
+        lab, hit = labels(on)
+        rest = []
+        for seg, rs in kids.items():
+            n, h = labels(rs)
+            other = lab - n
+            p = hit / lab if lab else 0
+            spread = math.sqrt(p * (1 - p) * (1 / n + 1 / other)) if n and other else 0
+            if len(rs) >= urltree.MIN_PAGES and spread > 0 and \
+                    abs(h / n - (hit - h) / other) >= urltree.DEVIATE * spread:
+                grow(host, rs, f"{template}/{seg}", level + 1)
+            else:
+                rest += rs
+        if rest:
+            grow(host, rest, template + "/*", level + 1)
+    hosts = {}
+    for i, (host, path, bad) in enumerate(pages):
+        hosts.setdefault(host, []).append((i, [s for s in path.split("/") if s], bad))
+    for host, rows in hosts.items():
+        grow(host, rows, "", 0)
+    return out
+
+
+def test_url_templates_equal_recursion_at_any_depth(spark):
+    rng = random.Random(8)
+    pages = []
+    for _ in range(900):
+        segs = ["s"] * rng.choice([0, 1, 13]) + [rng.choice(["bad", "good", "x", f"v{rng.randrange(40)}"]) for _ in range(rng.randrange(5))]
+        bad = rng.choice([None, "bad" in segs, "bad" in segs, rng.random() < 0.3])
+        pages.append((rng.choice(["a.org", "b.org"]), "/" + "/".join(segs), bad))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i long, host string, path string, bad boolean")
+    got = {r["i"]: (r["host"], r["template"]) for r in urltree.templates(df).collect()}
+    assert got == grown(pages) and len({t for _, t in got.values() if "bad" in t}) > 2
+
+
+def test_branches_below_many_shared_segments_are_judged_apart(spark):
+    deep = "/".join(f"d{i}" for i in range(14))
+    made = [(k, f"http://h.test/{deep}/{'bad' if k < 60 else 'good'}/{k}", k < 60) for k in range(120)]
+    df = spark.createDataFrame(made, "page_id long, url string, bad boolean")
+    assert {r["page_id"]: r["verdict"] for r in urltree.judge(df).collect()} == {
+        k: "block" if k < 60 else "allow" for k in range(120)}
