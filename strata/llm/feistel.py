@@ -170,7 +170,6 @@ def read_shards(spark: SparkSession, folder: str, seq_len: int = SEQ_LEN, per_sh
                     pa.array(np.arange(len(rec)) + shard * per_shard),
                     pa.array(head[:, 0], mask=head[:, 0] == NULL_ID), pa.array((head[:, 1] & 0xFFFFFFFF).astype(np.int32)),
                     pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())], schema=_READ_SCHEMA)
-    arrow_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     return files.select("path", "content").mapInArrow(parse, _READ)
 
