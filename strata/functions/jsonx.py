@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(x: Column, fn) -> Column:
-    """Bind ``x`` once for ``fn`` (``transform`` over a one-element array)."""
-    return F.element_at(F.transform(F.array(x), fn), 1)
-
-
 def parse(c) -> Column:
     """The text as VARIANT; NULL unless the whole text is one JSON value.
 
     One parse decides both: the parser ignores what follows a value, so the text is parsed as the
     first of two elements of an array whose second is the text's own hash. Only if the text is one
     value are there two elements, the hash the second. ``NaN`` and ``Infinity`` are not JSON."""
-    x = _c(c)
-    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), F.md5(x), F.lit('"]')))
-    return _let(F.variant_get(both, "$", "array<variant>"), lambda a: F.when(
-        (F.size(a) == 2) & (F.try_variant_get(a[1], "$", "string") == F.md5(x)), a[0]))
+    def elements(x, h):
+        both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), h, F.lit('"]')))
+        return let(F.variant_get(both, "$", "array<variant>"), lambda a: F.when(
+            (F.size(a) == 2) & (F.try_variant_get(a[1], "$", "string") == h), a[0]))
+    return let(_c(c), lambda x: let(F.md5(x), lambda h: elements(x, h)))
 
 
 def is_valid_json(c) -> Column:

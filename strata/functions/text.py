@@ -25,6 +25,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, fn) -> Column:
+    """Bind ``x`` once for ``fn`` (``transform`` over a one-element array): expressions have no let, and a
+    value that an expression names several times is otherwise computed as often, in a pushed-down
+    filter once more."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def ustrip(c) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
@@ -33,9 +40,10 @@ def ustrip(c) -> Column:
 def ustrip_long(c) -> Column:
     """``ustrip`` for a long text held in a column: the edge characters are tested first, so
     a text without edge whitespace skips the full regex scan."""
-    x = _c(c)
-    edge = F.substring(x, 1, 1).rlike(f"^{WS}$") | F.right(x, F.lit(1)).rlike(f"^{WS}$")
-    return F.when(edge, ustrip(x)).otherwise(x)
+    def strip(x):
+        edge = F.substring(x, 1, 1).rlike(f"^{WS}$") | F.right(x, F.lit(1)).rlike(f"^{WS}$")
+        return F.when(edge, ustrip(x)).otherwise(x)
+    return let(_c(c), strip)
 
 
 def words(c) -> Column:
@@ -59,12 +67,11 @@ def is_blank(c) -> Column:
 
 def strip_code_fence(c) -> Column:
     """Strip, then drop a leading json code fence and a trailing fence (no re-strip)."""
-    s = ustrip_long(c)
     head = len(K.CODE_FENCE_OPEN)
     tail = len(K.CODE_FENCE_CLOSE)
-    opened = F.when(s.startswith(K.CODE_FENCE_OPEN), F.substring(s, head + 1, 1 << 30)).otherwise(s)
-    return F.when(opened.endswith(K.CODE_FENCE_CLOSE),
-                  F.left(opened, F.length(opened) - F.lit(tail))).otherwise(opened)
+    opened = let(ustrip_long(c), lambda s: F.when(s.startswith(K.CODE_FENCE_OPEN), F.substring(s, head + 1, 1 << 30)).otherwise(s))
+    return let(opened, lambda s: F.when(s.endswith(K.CODE_FENCE_CLOSE),
+                                        F.left(s, F.length(s) - F.lit(tail))).otherwise(s))
 
 
 def clean_filename(c) -> Column:
