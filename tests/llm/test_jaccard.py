@@ -92,6 +92,12 @@ def test_empty_table_and_long_text(spark, none):
     assert found(df) == sorted(map(repr, [(4, 69998, 2), (2, 69999, 2), (3, len(shingles(long[:1000])), 3)]))
 
 
+def test_session_settings_stay(spark, documents):
+    before = dict(spark.conf.getAll)
+    jaccard.jaccard_components(documents.limit(20)).count()
+    assert dict(spark.conf.getAll) == before
+
+
 def test_index_length_and_percent():
     assert [jaccard.prefix_length(n) for n in (0, 1, 8, 9, 10, 100)] == [0, 0, 0, 1, 2, 11]
     with pytest.raises(ValueError):
