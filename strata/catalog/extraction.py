@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as TX
 from ..operators import extract as X
-from ..session import scratch_path
+from ..session import input_version, scratch_path
 from ..sinks import files as SK
 from ..sources import adapter as AD
 from ..sources import extraction_files as EF
@@ -23,8 +23,8 @@ _ENVELOPE_DIRS: dict = {}
 
 def envelope_dir(spark, sf):
     """The documents' extraction envelopes as JSON-lines files (one directory per source)
-    under the shared folder; written once per session and input directory."""
-    key = (spark.sparkContext.applicationId, sf)
+    under the shared folder; written once per session and state of the table's files."""
+    key = (spark.sparkContext.applicationId, input_version(spark, f"{sf}/documents.parquet"))
     if key not in _ENVELOPE_DIRS:
         path = scratch_path(spark, "extractions")
         SK.write_extraction_jsonl(AD.envelopes(TB.table(spark, sf, "documents")), path)

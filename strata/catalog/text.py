@@ -193,3 +193,34 @@ def json_inject_source(spark, sf):
     e = TB.table(spark, sf, "events")
     src = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     return e.select("event_id", src.alias("source"), J.inject_field("props", "source", src).alias("evidence"))
+
+
+_VARIANTS = {"object": "{0}", "array": "[{0}]", "spaces": " {0} ", "trailing": "{0} x", "second": "{0},{0}", "open": "{{{0}",
+             "text": '"{0}', "number": "7", "empty": "", "bracket": "{0}]", "two lists": "1],[{0}"}
+
+
+def _variant_sql(form: str) -> str:
+    return "'" + form.replace("{{", "\0").replace("{0}", "' || props || '").replace("\0", "{") + "'"
+
+
+@query("json_variants", sql="""
+    WITH v AS (""" + " UNION ALL ".join(f"SELECT event_id, user_id, '{n}' AS variant, {_variant_sql(f)} AS t FROM events"
+                                        for n, f in _VARIANTS.items()) + """)
+    SELECT event_id, variant, coalesce(json_valid(t), false) AS valid,
+           CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN json_merge_patch(t, json_object('source', 'user' || user_id))::VARCHAR
+           END AS evidence FROM v""")
+def json_variants(spark, sf):
+    """JSN1/JSN2 on texts that are not one JSON object: lists, texts and numbers are valid but hold no
+    source; trailing text, a second value, open or empty texts are not valid."""
+    e = TB.table(spark, sf, "events")
+
+    def text(form):
+        parts = form.replace("{{", "\0").split("{0}")
+        cols = [F.lit(parts[0].replace("\0", "{"))]
+        for p in parts[1:]:
+            cols += [F.col("props"), F.lit(p.replace("\0", "{"))]
+        return F.concat(*cols)
+    v = e.select("event_id", "user_id", F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), text(f).alias("t"))
+                                                           for n, f in _VARIANTS.items()])))
+    return v.select("event_id", "variant", J.is_valid_json("t").alias("valid"),
+                    J.inject_field("t", "source", F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("evidence"))

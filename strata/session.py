@@ -105,6 +105,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/strata/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def input_version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: a key under which what was made of it can be kept."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 _MATERIALIZED: dict = {}
 
 
