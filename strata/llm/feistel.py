@@ -152,9 +152,12 @@ _READ_SCHEMA = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("piece"
                           ("ids_crc32", pa.int64())])
 
 
-def read_shards(spark: SparkSession, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD,
+                start: int = 0) -> DataFrame:
     """One row for each record of the shards in ``folder``: slot, doc_id, piece, length, and
-    the checksum of its ids as little-endian uint16."""
+    the checksum of its ids as little-endian uint16.
+
+    ``start`` resumes a training run: records from that slot on; shards before it are not opened."""
     stride = HEADER + 2 * seq_len
 
     def parse(batches):
@@ -171,7 +174,14 @@ def read_shards(spark: SparkSession, folder: str, seq_len: int = SEQ_LEN, per_sh
                     pa.array(head[:, 0], mask=head[:, 0] == NULL_ID), pa.array((head[:, 1] & 0xFFFFFFFF).astype(np.int32)),
                     pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())], schema=_READ_SCHEMA)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    return files.select("path", "content").mapInArrow(parse, _READ)
+    if start:
+        number = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
+        wanted = [r[0] for r in files.select("path").where(number >= start // per_shard).collect()]  # names of files alone
+        if not wanted:
+            return spark.createDataFrame([], _READ)
+        files = spark.read.format("binaryFile").load(wanted)
+    rows = files.select("path", "content").mapInArrow(parse, _READ)
+    return rows.where(F.col("slot") >= start) if start else rows
 
 
 def training_order(documents: DataFrame) -> DataFrame:

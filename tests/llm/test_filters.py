@@ -94,6 +94,10 @@ def test_secret_spans(spark, documents, edge):
     assert sorted(map(str, out.collect())) == sorted(map(str, edge.collect()))
 
 
+def test_secret_scan_of_nothing(none):
+    assert secret_scan.secret_table(none).count() == 0 and secret_scan.redact(none).columns == none.columns
+
+
 def test_url_rules_templates_and_edges(spark):
     made = [(1, None, None), (2, "nope", None), (3, "HTTP://A.Example.NET?x", True), (4, "http://Example.net/en/a#b", False),
             (5, "x://y://z.com/a://b", None), (6, "http://xnet/", None), (7, "http://a.b.net/q?r", True),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strata.llm import feistel, packing, ppm, tokencount
@@ -115,6 +116,28 @@ def test_training_order_round_trip(docs, none, library):
     assert feistel.training_order(none).count() == 0
 
 
+def test_reading_resumes_at_any_slot_and_leaves_settings_alone(spark, documents):
+    from strata.session import scratch_path
+    folder = scratch_path(spark, "resume-test")
+    feistel.materialise(documents.limit(40), folder, seq_len=64, per_shard=16)
+    before = dict(spark.conf.getAll)
+    every = sorted(map(tuple, feistel.read_shards(spark, folder, 64, 16).collect()))
+    assert [r[0] for r in every] == list(range(len(every))) and len(every) > 50
+    for start in (1, 16, 37, len(every) - 1, len(every), 10 ** 6):
+        assert sorted(map(tuple, feistel.read_shards(spark, folder, 64, 16, start=start).collect())) == every[start:]
+    assert dict(spark.conf.getAll) == before
+
+
+def test_clashing_columns_change_nothing(spark, documents):
+    docs = documents.limit(30)
+    clash = docs.withColumns({"kept": F.lit(True), "_row": F.lit(7), "slot": F.lit(1), "piece": F.lit("x"), "R": F.lit(2.0)})
+    order = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert order(feistel.training_order(clash)) == order(feistel.training_order(docs))
+    assert order(ppm.scores(clash)) == order(ppm.scores(docs))
+    same = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert order(packing.packed(clash).select(same)) == order(packing.packed(docs).select(same))
+
+
 def test_ppm_equals_brute_force(docs, none):
     out = ppm.scores(docs).collect()
     texts = [(r.doc_id, (r.text or "").encode().translate(ppm.LOWER)) for r in docs.collect()]
