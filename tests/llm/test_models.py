@@ -192,6 +192,19 @@ def test_pipeline_stages(spark, documents):
     assert documents.count() > counts[0] >= counts[1] > counts[2] == counts[3] <= counts[4]
 
 
+def test_pipeline_stages_on_null_long_and_repeated_texts_and_on_nothing(spark, edge, none):
+    import corpus_pipeline
+    from strata.llm.common import staged
+    from tests.conftest import SF001
+    for docs in (edge, none):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = staged(stage(spark, docs, SF001), "edge-" + name.replace(" ", "-"))
+            assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
+        assert "sequence_id" in docs.columns
+    assert docs.count() == 0
+
+
 def test_encoder_equals_the_library():
     from strata.llm.tokenize import Encoder
     enc = Encoder()
