@@ -250,29 +250,45 @@ def _short_counts(batches):
 
 
 def _answer(short):
-    """For each chunk's keys of a range: counts of its words, costs of its grams."""
+    """Rows of a range, its model first (without chunk), then the chunks' keys -> for each chunk the counts
+    of its words and the costs of its grams."""
     def f(batches):
         def rows():
             last, known = None, None
             for b in batches:
-                for kind, r, chunk, keys, mk, mn in zip(*(b.column(c).to_pylist() for c in (
-                        "kind", "r", "chunk", "keys", "model_keys", "model_counts"))):
+                for kind, r, chunk, keys, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "r", "chunk", "keys", "counts"))):
                     if (kind, r) != last:
-                        n = np.frombuffer(mn or b"", np.int64)
+                        mk, n = (keys, np.frombuffer(counts, np.int64)) if chunk is None else (b"", np.empty(0, np.int64))
                         if kind == WORDS:
-                            known = dict(zip((mk or b"").split(b" "), n.tolist()))
+                            known = dict(zip(mk.split(b" "), n.tolist()))
                         else:
-                            known = Trie(np.frombuffer(mk or b"", np.uint64), n, short.value)
+                            known = Trie(np.frombuffer(mk, np.uint64), n, short.value)
                         last = (kind, r)
+                    if chunk is None:
+                        continue
                     if kind == WORDS:
                         values = np.array([known.get(w, 0) for w in keys.split(b" ")], np.int64)
                     else:
                         values = known.log10(np.frombuffer(keys, np.uint64))
                     yield kind, r, chunk, keys, values.tobytes()
-        return _batches(rows(), _BLOB_SCHEMA)
+        return _batches(rows(), _BLOB_SCHEMA, 64)
     return f
 
 
+def _cost_sums(grams: np.ndarray, cost: np.ndarray, parts: list[np.ndarray]) -> list[float]:
+    """The summed costs of each part's grams, looked up in ascending order, which memory caches like."""
+    g = np.concatenate(parts)
+    order = np.argsort(g)
+    sorted_ = g[order]
+    p = np.minimum(np.searchsorted(grams, sorted_), max(0, len(grams) - 1))
+    if not np.array_equal(grams[p], sorted_):
+        raise RuntimeError("a gram of this chunk has no answer")
+    own = np.empty(len(g))
+    own[order] = cost[p]
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    return [float(own[x:y].sum()) for x, y in zip([0, *ends], ends)]
+
+
 _OUT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double")
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
@@ -293,17 +309,21 @@ def _score(n_train: int, n_distinct: int):
         grams, cost = np.concatenate(keys), np.concatenate(costs)
         order = np.argsort(grams, kind="stable")
         grams, cost = grams[order], cost[order]
-        out = []
+        out, parts, sums, size = [], [], [], 0
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
             text = t.as_py().translate(LOWER)
             c = np.array([counts[w] for w in text.split()] + [counts[END_WORD]], np.int64)
             base = np.log10((c + 0.5) / (n_train + 0.5 * (n_distinct + 1))).sum()
-            g = text_grams(text)
-            p = np.searchsorted(grams, g)
-            if not np.array_equal(grams[p], g):
-                raise RuntimeError("a gram of this chunk has no answer")
-            out.append((d, is_held_out(d), len(c), int((c > 0).sum()), n_train, float(base), float(cost[p].sum())))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _OUT_SCHEMA)], schema=_OUT_SCHEMA)
+            out.append((d, is_held_out(d), len(c), int((c > 0).sum()), n_train, float(base)))
+            parts.append(text_grams(text))
+            size += len(parts[-1])
+            if size > 1_000_000:
+                sums += _cost_sums(grams, cost, parts)
+                parts, size = [], 0
+        if parts:
+            sums += _cost_sums(grams, cost, parts)
+        rows = [(*o, x) for o, x in zip(out, sums, strict=True)]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _OUT_SCHEMA)], schema=_OUT_SCHEMA)
     return f
 
 
@@ -329,8 +349,11 @@ def scores(documents: DataFrame) -> DataFrame:
             .groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toArrow())
     short = (rows.column("k").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64))
     sent = spark.sparkContext.broadcast(short)
-    asked = blobs.drop("counts").join(model.withColumnsRenamed({"keys": "model_keys", "counts": "model_counts"}),
-                                      ["kind", "r"], "left")
+    # each range's model once, before the keys that the chunks ask of it
+    none = F.lit(None)
+    asked = (model.select("kind", "r", none.cast("long").alias("chunk"), "keys", "counts")
+             .unionByName(blobs.select("kind", "r", "chunk", "keys", none.cast("binary").alias("counts")))
+             .repartition("kind", "r").sortWithinPartitions("kind", "r", F.asc_nulls_first("chunk")))
     answers = asked.mapInArrow(_answer(sent), _BLOB).select("chunk", "kind", "keys", "counts")
     score = _score(totals[0] or 0, totals[1] or 0)
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
