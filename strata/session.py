@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts travel to Python: 10,000 of them would not be a small batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     # map_concat in the evidence injection (JSN2) lets the injected key win.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # JSON objects with a repeated key are valid, the last value wins (as json.loads does).

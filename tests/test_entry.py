@@ -75,3 +75,15 @@ def test_stream_ingest_equals_batch_ingest(spark):
     a = {tuple(r) for r in qs["stream_ingest"](spark, SF001).collect()}
     b = {tuple(r) for r in qs["ingest_documents"](spark, SF001).collect()}
     assert a == b and a
+
+
+def test_queries_leave_the_settings_alone(spark):
+    from strata.session import apply_conf
+    apply_conf(spark)
+    before = dict(spark.conf.getAll)
+    qs = E.queries()
+    for name in ("vector_search", "report_entries", "fuzzy_name_pairs", "store_search", "op6_token_counts", "op8_simhash",
+                 "op11_hard_negatives"):
+        if name in qs:
+            qs[name](spark, SF001).count()
+            assert dict(spark.conf.getAll) == before, name
