@@ -30,8 +30,8 @@ def masked_mean(df: DataFrame, key: str, vec_col: str, mask_col: str) -> DataFra
     over the vectors that have it."""
     m = _means(df, key, vec_col, F.col(mask_col))
     # a few mean vectors for each key: one for each length
-    every = m.select(key, F.col("_n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_dims") - 1),
-                                                                lambda i: F.get("_mean", i))).alias("dim", "_x")).where("_x is not null or _n is null")
+    padded = F.transform(F.sequence(F.lit(0), F.col("_dims") - 1), lambda i: F.get("_mean", i))
+    every = m.select(key, "_n", F.posexplode(padded).alias("dim", "_x")).where("_x is not null or _n is null")
     agg = every.groupBy(key, "dim").agg(F.sum(F.col("_x") * F.col("_n")).alias("_s"), F.sum("_n").alias("_t"))
     return agg.select(key, F.col("dim").cast("bigint").alias("dim"), F.try_divide("_s", "_t").alias("value"))
 

@@ -11,8 +11,9 @@ own partitions; documents whose source came with an earlier batch are left out b
 chunked. No text is shuffled.
 
 STM2 history: each micro-batch joins the messages of the version before with the new ones and writes the
-last N of every conversation as the next version, by ``row_number``: no Python runs for a row. A replayed batch starts from the same version and replaces its own. Versions that no
-replay can need are deleted: what stays is the live one and its predecessor.
+last N of every conversation as the next version, by ``row_number``: no Python runs for a row. A
+replayed batch starts from the same version and replaces its own. Versions that no replay can need are
+deleted: what stays is the live one and its predecessor.
 """
 
 from __future__ import annotations
