@@ -22,12 +22,15 @@ from .answers import LAST_N
 from .text import _CHUNKS_SQL, MAX_CHUNK, OVERLAP, PAGE_CHUNKS_SQL
 
 
-def chunk_store_rows(spark, sf):
-    """Documents as the chunks an ingest receives: source file '<source>/<doc_id>.pdf'."""
+def source_files(spark, sf):
+    """Documents as the files an ingest finds: '<source>/<doc_id>.pdf' with their text."""
     d = TB.table(spark, sf, "documents")
-    c = CH.sentence_chunks(d, "text", MAX_CHUNK, OVERLAP, keep=("doc_id", "source", "lang"))
-    c = c.withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-    return ST.chunk_rows(c)
+    return d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), "text")
+
+
+def chunk_store_rows(files):
+    """Files as the chunks an ingest receives."""
+    return ST.chunk_rows(CH.sentence_chunks(files, "text", MAX_CHUNK, OVERLAP, keep=("source",)))
 
 
 _INGEST_SQL = f"""WITH {_CHUNKS_SQL}
@@ -41,9 +44,10 @@ def _ingested(spark, sf):
     """A fresh store into which every document's chunks were ingested as one batch, again as the same
     batch (a retried run), and as another batch (known sources)."""
     root = scratch_path(spark, "store")
-    rows = chunk_store_rows(spark, sf)
+    files = source_files(spark, sf)
     for batch in ("first", "first", "second"):
-        ST.ingest(spark, root, rows, batch=batch)
+        # known files are left out by their names, before they are cut into chunks
+        ST.ingest(spark, root, chunk_store_rows(ST.unseen(spark, root, files, batch)), batch=batch, check_sources=False)
     return root
 
 
@@ -62,7 +66,7 @@ def ingest_vectors(spark, sf):
     """SNK1, the vectors: what the ingest of every document's chunks has stored, as the non-zero
     entries of each vector with its id, source and type."""
     root = scratch_path(spark, "store")
-    ST.ingest(spark, root, chunk_store_rows(spark, sf), batch="only")
+    ST.ingest(spark, root, chunk_store_rows(source_files(spark, sf)), batch="only")
     v = ST.read_vectors(spark, root)
     e = v.select("id", "source", "embedding_type", F.posexplode("embedding").alias("bucket", "w")).where("w > 0")
     return e.select("id", "source", "embedding_type", F.col("bucket").cast("int").alias("bucket"),
