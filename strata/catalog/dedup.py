@@ -64,7 +64,7 @@ def name_duplicate_groups(spark, sf):
 @query("fuzzy_name_pairs", sql=f"WITH RECURSIVE {FUZZY_SQL} SELECT a, b, round(ratio, 6) AS ratio FROM e")
 def fuzzy_name_pairs(spark, sf):
     """JOI4: distinct clean names (by first file id a < b) whose ratio, earlier name first,
-    reaches 0.85; candidates from the lossless prefix filter, never all pairs."""
+    reaches 0.85; candidates from lossless bounds over blocks of names."""
     return round_doubles(D.similar_name_pairs(files(spark, sf), "doc_id", "file_name", K.FUZZY_THRESHOLD))
 
 

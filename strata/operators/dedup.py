@@ -8,7 +8,7 @@ that AQE's skew handling splits.
 Near-duplicate names follow the greedy rule: in id order, a file not yet taken, with a
 non-empty clean name, leads and takes every later file not yet taken whose name ratio
 ``2*M/(len_a+len_b)`` (difflib's matching characters M, earlier name first) reaches the
-threshold. It is computed without comparing all pairs:
+threshold. Only few pairs are compared:
 
 1. Identical clean names are one node (ratio 1.0): every later copy follows the same leader
    as the first copy, so only distinct names are compared.

@@ -1,41 +1,48 @@
-"""Similar names without comparing all pairs (JOI4).
+"""Similar names (JOI4): all that can reach the ratio, by bounds over blocks of names.
 
 The ratio of two names is ``2*M/(la+lb)``, M the characters in difflib's matching blocks, which
-are common substrings in order. If it reaches t, M is at least ``need = ceil(t*(la+lb)/2)``, so:
-
-* *Prefix.* Order the characters of all names by rarity, those of one name by (rarity, position). At
-  least ``need`` of them are matched, so the rarest matched one is among the name's first
-  ``la - need + 1``, and its partner among the other's first ``lb - need + 1``. Any t > 0 gives such a
-  prefix: there is no threshold below which all pairs of a length are compared.
-* *Shift.* Before a matched pair at places p and q lie at most ``la - need`` unmatched characters of
-  one name and ``lb - need`` of the other, which bounds q - p.
-* *Length classes.* Names meet under (character, their two length classes), classes 5 % wide; the prefix
-  is cut for each partner class. Lengths outside ``t/(2-t)`` of each other never meet.
-* *Histogram.* M is at most the multiset intersection of the characters. The k-th character of a bin is
-  a bit of a bitmap of eight 64-bit integers, so the bits of both names count the intersection (what
-  finds no bit is counted beside it); this is a part of the join condition, so a pair that fails is
-  never written.
-
-What is left is compared by Python: the length of the longest common subsequence (bit-parallel on
-Python's integers) bounds M, and only then difflib runs.
+are common substrings in order. If it reaches t, M is at least ``t*(la+lb)/2``. M is at most
+
+* the multiset intersection of the characters (and so the shorter length), and
+* the longest common subsequence.
+
+With 15 % of the characters free to differ no key is shared by similar names only: a join on rare
+characters writes a part of all pairs that does not fall with the number of names, and its rows cost
+far more than the bounds. So names are written once to the shared folder in blocks, sorted by
+length; a task takes pairs of blocks whose lengths can meet, and holds no more than them:
+
+* the intersections of two blocks are one matrix product: the k-th character of a bin is a bit, so
+  the common bits of two names count it (of characters without a bit at most as many as either
+  name has are added);
+* the pairs that are left, some in a thousand, go through the bit-parallel common subsequence all at
+  once, a character of every pair in each step; a pair is dropped when the characters to come
+  cannot reach the bound.
+
+The work grows with the square of the number of names of about one length, at some 20 ns a pair; what is
+shuffled are pairs of block names and the few candidates. Of these Python computes the ratio: the
+common subsequence on the whole alphabet first, and only then difflib.
 """
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EPS = 1e-9
-CLASS = 1.05              # width of a length class
+from ..session import scratch_path
+
+EPS = 1e-2                # below a bound, for its rounding; what is bounded are whole numbers
 BINS, DEPTH = 36, 14      # character bins, and the occurrences of one that have a bit
-WORDS = 8                 # 64-bit integers that hold BINS * DEPTH bits
+BLOCK = 2048              # names of a block
+TILE = 512                # names of a block that meet the other at once
+PAIRS = 1 << 14           # pairs whose common subsequence is computed at once
+CODES = 256               # characters that the subsequence tells apart: ASCII, others by remainder
+WORDS = 8                 # 64-bit integers of a name; of longer ones Python computes the subsequence
 
 
 # ---- exact ratio ----------------------------------------------------------------------------
@@ -91,90 +98,154 @@ def name_ratio(t: float):
     return _ratio.asNondeterministic()
 
 
-# ---- character bitmaps -----------------------------------------------------------------------
-
-def character_bits(name: Column) -> Column:
-    """WORDS integers with a bit for each of a bin's first DEPTH characters, then the number of the
-    other characters."""
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def _bits(names: pa.Array) -> pa.Array:
-        out = np.zeros((len(names), WORDS + 1), np.int64)
-        for r, s in enumerate(names.to_pylist()):
-            counts = np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % BINS, minlength=BINS)
-            bits = np.zeros(WORDS * 64, np.uint8)
-            bits[:BINS * DEPTH] = (np.arange(DEPTH) < counts[:, None]).ravel()
-            out[r, :WORDS] = np.packbits(bits, bitorder="little").view("<i8")
-            out[r, WORDS] = np.maximum(counts - DEPTH, 0).sum()
-        at = pa.array(np.arange(len(out) + 1) * (WORDS + 1), pa.int32())
-        return pa.ListArray.from_arrays(at, pa.array(out.ravel()))
-    return _bits(name)
-
-
-def shared_characters(x: str, y: str) -> Column:
-    """An upper bound of the characters that two names share: common bits, and of the characters
-    without a bit at most as many as either name has."""
-    both = sum((F.bit_count(F.col(f"{x}_h{w}").bitwiseAND(F.col(f"{y}_h{w}"))) for w in range(WORDS)), F.lit(0))
-    return both + F.least(f"{x}_h{WORDS}", f"{y}_h{WORDS}")
+# ---- bounds over two blocks ----------------------------------------------------------------------
+
+class Block:
+    """Names (rep, clean) as arrays: lengths, character bits, characters as codes, places by character."""
+
+    def __init__(self, reps, names):
+        self.reps, self.names = np.asarray(reps, np.int64), names
+        chars = [np.frombuffer(s.encode("utf-32-le"), "<u4") for s in names]
+        self.len = np.fromiter(map(len, chars), np.int64, len(chars))
+        row, flat = np.repeat(np.arange(len(chars)), self.len), np.concatenate(chars)
+        counts = np.bincount(row * BINS + flat % BINS, minlength=len(chars) * BINS).reshape(-1, BINS)
+        self.bits = (np.arange(DEPTH) < counts[:, :, None]).reshape(len(chars), -1).astype(np.float32)
+        self.other = np.maximum(counts - DEPTH, 0).sum(axis=1).astype(np.float32)
+        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.len) - self.len, self.len)
+        self.row, self.code = row, np.where(flat < 128, flat, 128 + flat % (CODES - 128)).astype(np.int64)
+
+    def texts(self, width: int):
+        """(place, name): codes of the first ``width`` characters, CODES where a name has ended."""
+        out = np.full((width, len(self.names)), CODES, np.int64)
+        ok = self.place < width
+        out[self.place[ok], self.row[ok]] = self.code[ok]
+        return out
+
+    @property
+    def masks(self):
+        """(words, name, code): the bits of the places at which a name of at most 64 * WORDS characters has a code."""
+        if not hasattr(self, "_masks"):
+            short = self.len[self.len <= 64 * WORDS]
+            out = np.zeros((-(-int(short.max(initial=1)) // 64), len(self.names), CODES + 1), np.uint64)
+            ok = self.len[self.row] <= 64 * WORDS
+            place = self.place[ok]
+            np.bitwise_or.at(out, (place // 64, self.row[ok], self.code[ok]), np.uint64(1) << (place % 64).astype(np.uint64))
+            self._masks = out
+        return self._masks
+
+
+def sharing(x: Block, y: Block, rows: slice, t: float):
+    """Pairs (i, j) of ``x[rows]`` and ``y`` that share as many characters as the ratio t needs."""
+    shared = x.bits[rows] @ y.bits.T
+    if x.other[rows].any() and y.other.any():
+        shared += np.minimum(x.other[rows, None], y.other)
+    need = (np.float32(t / 2) * x.len[rows].astype(np.float32)[:, None] + np.float32(t / 2) * y.len.astype(np.float32)) - EPS
+    i, j = np.divmod(np.flatnonzero(shared >= np.maximum(need, 0.5)), len(y.len))
+    return i + rows.start, j
+
+
+def in_order(x: Block, y: Block, i, j, t: float):
+    """Which of the pairs (i, j), ``x``'s name of at most 64 * WORDS characters, can have a common subsequence
+    as long as t needs."""
+    keep = np.zeros(len(i), bool)
+    words = -(-x.len[i] // 64)
+    text = y.texts(int(y.len[j].max(initial=0)))
+    for w in np.unique(words):
+        mine = np.flatnonzero(words == w)
+        for at in range(0, len(mine), PAIRS):
+            part = mine[at:at + PAIRS]
+            keep[part[_reaching(x, y, text, i[part], j[part], int(w), t)]] = True
+    return keep
+
+
+def _reaching(x: Block, y: Block, text, i, j, words: int, t: float):
+    la, lb = x.len[i], y.len[j]
+    need = t / 2 * (la + lb) - EPS
+    masks, first = [m.ravel() for m in x.masks[:words]], i * (CODES + 1)
+    rest = np.clip(la - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+    own = np.where(rest == 64, ~np.uint64(0), (np.uint64(1) << (rest % 64)) - np.uint64(1))  # the places of a name
+    v, left = np.full((words, len(i)), ~np.uint64(0)), np.arange(len(i))
+    for k in range(int(lb.max())):
+        if k % 8 == 0 and k:
+            found = la - np.bitwise_count(v & own).sum(axis=0, dtype=np.int64)
+            ok = found + np.maximum(lb - k, 0) >= need
+            if not ok.any():
+                return left[:0]
+            if ok.mean() < 0.8:
+                first, j, la, lb, need, left, v, own = first[ok], j[ok], la[ok], lb[ok], need[ok], left[ok], v[:, ok], own[:, ok]
+        place, carry = first + text[k].take(j), None
+        for w in range(words):
+            u = v[w] & masks[w].take(place)
+            s = v[w] + u
+            if words > 1:
+                over = s < u
+                if carry is not None:
+                    s += carry
+                    over |= s < carry
+                carry = over.astype(np.uint64)
+            v[w] = s | (v[w] - u)
+    return left[la - np.bitwise_count(v & own).sum(axis=0, dtype=np.int64) >= need]
+
+
+def block_pairs(x: Block, y: Block, t: float):
+    """Pieces (i, j) with the pairs of two blocks, or of one (i < j), that may reach t."""
+    for at in range(0, len(x.len), TILE):
+        i, j = sharing(x, y, slice(at, min(at + TILE, len(x.len))), t)
+        if x is y:
+            i, j = i[i < j], j[i < j]
+        short = x.len[i] <= 64 * WORDS
+        keep = np.zeros(len(i), bool)
+        keep[short] = in_order(x, y, i[short], j[short], t)
+        for p in np.flatnonzero(~short):
+            a, b = x.names[i[p]], y.names[j[p]]
+            keep[p] = common_subsequence(a, b) >= t / 2 * (len(a) + len(b)) - EPS
+        if keep.any():
+            yield i[keep], j[keep]
 
 
 # ---- candidates --------------------------------------------------------------------------------
 
-def least_match(n: Column, t: float) -> Column:
-    """Smallest M with 2*M/n >= t (never too large by rounding)."""
-    return F.greatest(F.ceil(F.lit(t / 2) * n - F.lit(EPS)), F.lit(1))
+def _kernel(path: str, t: float):
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        files, root = fs.FileSystem.from_uri(path)
 
+        @lru_cache(maxsize=4)
+        def block(name):
+            got = pq.read_table(f"{root}/{name}", filesystem=files, columns=["rep", "clean"])
+            return Block(got.column("rep").to_numpy(), got.column("clean").to_pylist())
 
-def length_class(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(CLASS))).cast("int")
+        for pdf in batches:
+            for first, second in sorted(zip(pdf["x"], pdf["y"])):
+                x, y = block(first), block(second)
+                for i, j in block_pairs(x, y, t):
+                    a, b = x.reps[i], y.reps[j]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
 
 
-def prefix_entries(names: DataFrame, t: float) -> DataFrame:
-    """One row for each name, rare character (with the first rank and the range of places that it has
-    in the prefix) and partner class in reach: (ch, own, other, rep, len, rank, low, high, h0..h8)."""
-    n = names.select("rep", "clean", F.length("clean").alias("len"), character_bits(F.col("clean")).alias("h"))
-    reach = F.lit((2 - t) / t)
-    n = n.withColumns({"shortest": F.greatest(F.ceil(F.col("len") / reach - EPS), F.lit(1)),
-                       "longest": F.floor(F.col("len") * reach + EPS)})
-    chars = n.select("rep", "len", "shortest", F.posexplode(F.split("clean", "")).alias("pos", "ch")).where("ch <> ''")
-    # one row for each character in use: bounded by the alphabet
-    rarity = F.broadcast(names.select(F.explode(F.array_distinct(F.split("clean", ""))).alias("ch"))
-                         .groupBy("ch").agg(F.count(F.lit(1)).alias("freq")))
-    order = Window.partitionBy("rep").orderBy("freq", "ch", "pos")
-    rare = (chars.join(rarity, "ch").withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= F.col("len") - least_match(F.col("len") + F.col("shortest"), t) + 1)
-            .groupBy("rep", "ch").agg(F.min("rank").alias("rank"), F.min("pos").alias("low"), F.max("pos").alias("high")))
-    classes = n.select("rep", "len", "shortest", *[F.col("h")[w].alias(f"h{w}") for w in range(WORDS + 1)],
-                       length_class(F.col("len")).alias("own"),
-                       F.explode(F.sequence(length_class(F.col("shortest")), length_class(F.col("longest")))).alias("other"))
-    # the shortest name of the partner's class (or a little shorter, which only lengthens the prefix)
-    least = F.greatest("shortest", F.floor(F.pow(F.lit(CLASS), F.col("other")) - F.lit(1e-6)))
-    classes = classes.withColumn("keep", F.col("len") - least_match(F.col("len") + least, t) + 1).drop("shortest")
-    return rare.join(classes, "rep").where("rank <= keep").drop("keep")
-
-
-def candidate_pairs(names: DataFrame, t: float) -> DataFrame:
+def candidate_pairs(names: DataFrame, t: float, block: int = BLOCK) -> DataFrame:
     """(a, b, name_a, name_b) with rep a < rep b for names (rep, clean) that may reach ratio t.
 
     No pair that reaches t is lost, and no pair that fails a bound is written."""
-    e = prefix_entries(names, t).checkpoint()  # read by both sides of the join: computed once
-
-    def side(own: str, other: str, tag: str) -> DataFrame:
-        return e.where(f"own {'<=' if tag == 'x' else '>='} other").select(
-            "ch", F.col("own").alias(own), F.col("other").alias(other),
-            *[F.col(c).alias(f"{tag}_{c}") for c in ("rep", "len", "rank", "low", "high", *(f"h{w}" for w in range(WORDS + 1)))])
-    x, y = side("k1", "k2", "x"), side("k2", "k1", "y")
-    both = F.col("x_len") + F.col("y_len")
-    need = least_match(both, t)
-    fits = ((F.lit(2.0) * F.least("x_len", "y_len") / both >= F.lit(t))
-            & (F.col("x_rank") <= F.col("x_len") - need + 1) & (F.col("y_rank") <= F.col("y_len") - need + 1)
-            & (F.col("y_high") - F.col("x_low") >= need - F.col("x_len"))
-            & (F.col("y_low") - F.col("x_high") <= F.col("y_len") - need)
-            & (shared_characters("x", "y") >= need))
-    once = (x["k1"] < x["k2"]) | (F.col("x_rep") < F.col("y_rep"))
-    same = [x[c] == y[c] for c in ("ch", "k1", "k2")]
-    pairs = (x.join(y, same[0] & same[1] & same[2] & once & fits)
-             .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
+    spark = names.sparkSession
     name = names.select("rep", "clean")
+    path = scratch_path(spark, "name-blocks")
+    n = name.count()
+    (name.withColumn("len", F.length("clean")).where("len > 0")
+         .repartitionByRange(max(1, -(-n // block)), "len", "rep").sortWithinPartitions("len")
+         .write.option("maxRecordsPerFile", block).parquet(path))
+    blocks = (spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+              .agg(F.min("len").alias("low"), F.max("len").alias("high")))
+    x, y = (blocks.select(*[F.col(c).alias(f"{s}{c}") for c in ("file", "low", "high")]) for s in "xy")
+    reach = F.lit((2 - t) / t)
+    meet = ((F.col("xfile") <= F.col("yfile")) & (F.col("xhigh") * reach + EPS >= F.col("ylow"))
+            & (F.col("yhigh") * reach + EPS >= F.col("xlow")))
+    # one row for each pair of blocks, dealt out so that neighbours, alike in length, come to different tasks
+    todo = x.join(y, meet).select(F.col("xfile").alias("x"), F.col("yfile").alias("y"))
+    tasks = max(spark.sparkContext.defaultParallelism * 4, -(-n // block))
+    pairs = todo.repartition(tasks, "x", "y").mapInPandas(_kernel(path, t), "a long, b long")
     return (pairs.join(name.select(F.col("rep").alias("a"), F.col("clean").alias("name_a")), "a")
             .join(name.select(F.col("rep").alias("b"), F.col("clean").alias("name_b")), "b")
             .select("a", "b", "name_a", "name_b"))

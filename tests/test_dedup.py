@@ -129,3 +129,26 @@ def test_duplicate_report_has_names_and_ratio(spark):
                    ("similar", "River Delta 2020.pdf", "river delta.pdf", 1, 4, 1.0),
                    ("similar", "River Delta 2020.pdf", "the river deltas.pdf", 1, 3,
                     SequenceMatcher(None, "river delta", "river deltas").ratio())]
+
+
+def test_common_subsequence_of_many_pairs_equals_that_of_one():
+    """The bound over blocks is exact on names of one or more words, and what it drops cannot reach the ratio."""
+    from strata.operators import names as N
+    names = random_names(8, 80, 40) + ["ab" * 64, "ab" * 63 + "c", "x" * 64, "x" * 65, "é" * 600, "é" * 560 + "a" * 30]
+    a, b = N.Block(range(86), names), N.Block(range(86, 172), names[::-1])
+    for t in (0.95, 0.85, 0.6):
+        for x, y in ((a, b), (a, a)):
+            want = {(i, j) for i, p in enumerate(x.names) for j, q in enumerate(y.names) if x is not y or i < j
+                    if N.common_subsequence(p, q) >= t / 2 * (len(p) + len(q)) - N.EPS}
+            got = [p for i, j in N.block_pairs(x, y, t) for p in zip(i.tolist(), j.tolist())]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_names_in_several_blocks_lose_no_pair(spark):
+    from strata.operators import names as N
+    names = random_names(6, 90, 9)
+    df = spark.createDataFrame(list(enumerate(names)), "rep long, clean string")
+    got = {(r["a"], r["b"]) for r in N.candidate_pairs(df, 0.85, block=20).collect()}
+    want = {(a, b) for b in range(len(names)) for a in range(b) if SequenceMatcher(None, names[a], names[b]).ratio() >= 0.85}
+    assert want <= got
+    assert "MapInPandas" in N.candidate_pairs(df, 0.85)._jdf.queryExecution().toString()
