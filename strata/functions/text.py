@@ -32,16 +32,30 @@ def let(x: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(x), fn), 1)
 
 
+def once(c) -> Column:
+    """``c``, computed by its own projection alone. Catalyst copies a deterministic expression into every
+    filter that it pushes below the projection and into every projection that it merges with it; a parse
+    or a regular expression over a whole text is then done as often."""
+    return F.when(F.monotonically_increasing_id() >= 0, _c(c))
+
+
+#: The characters of ``WS``.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def ustrip(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends. Trimmed by a list of characters: a regular
+    expression would look for the end's whitespace from every place of the text."""
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 def ustrip_long(c) -> Column:
     """``ustrip`` for a long text held in a column: the edge characters are tested first, so
-    a text without edge whitespace skips the full regex scan."""
+    a text without edge whitespace is not copied."""
     def strip(x):
-        edge = F.substring(x, 1, 1).rlike(f"^{WS}$") | F.right(x, F.lit(1)).rlike(f"^{WS}$")
+        edge = F.lit(False)
+        for ch in SPACES:  # the end is compared as bytes: no character of the text is counted
+            edge = edge | x.startswith(ch) | x.endswith(ch)
         return F.when(edge, ustrip(x)).otherwise(x)
     return let(_c(c), strip)
 

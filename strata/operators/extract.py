@@ -27,14 +27,14 @@ def envelope_columns(raw: DataFrame) -> DataFrame:
     cols = [c for c in raw.columns if c not in ("content", "metadata", "_corrupt")]
     out = raw.select(
         *cols,
-        content.alias("content"),
+        TX.once(content).alias("content"),
         F.col("metadata.source_file").alias("source_file"),
         F.col("metadata.processed_at").alias("processed_at"),
         F.coalesce(F.col("metadata.summary_type"), F.lit(K.DEFAULT_SUMMARY_TYPE)).alias("summary_type"),
         F.coalesce(F.col("metadata.prompt"), F.lit(K.DEFAULT_PROMPT)).alias("prompt"),
         F.col("_corrupt"),
         F.col("_corrupt").isNull().alias("_line_ok"))
-    return out.withColumn("valid", F.col("_line_ok") & J.is_valid_json("content")).drop("_line_ok")
+    return out.withColumn("valid", TX.once(F.col("_line_ok") & J.is_valid_json("content"))).drop("_line_ok")
 
 
 def with_paper(df: DataFrame, content_col: str = "content") -> DataFrame:
@@ -50,7 +50,7 @@ def papers(p: DataFrame) -> DataFrame:
 
 def _explode(p: DataFrame, arr: str, outer: bool = False) -> DataFrame:
     fn = F.posexplode_outer if outer else F.posexplode
-    return (p.select("source_file", fn(arr).alias("_pos", "e"))
+    return (p.select("source_file", TX.once(arr).alias("_items")).select("source_file", fn("_items").alias("_pos", "e"))
              .withColumn("ordinal", (F.col("_pos") + 1).cast("int")).drop("_pos"))
 
 
@@ -60,11 +60,12 @@ def authors(p: DataFrame) -> DataFrame:
 
 
 def keywords(p: DataFrame) -> DataFrame:
-    k = _explode(p, "paper.metadata.keywords").select("source_file", F.lit("keyword").alias("kind"), "ordinal",
-                                                      F.col("e").alias("value"))
-    o = _explode(p, "paper.study.objectives").select("source_file", F.lit("objective").alias("kind"), "ordinal",
-                                                     F.col("e").alias("value"))
-    return k.unionByName(o)
+    """Keywords and objectives of a paper in one array: the record is read and parsed once."""
+    def items(arr: str, kind: str):
+        return F.transform(F.coalesce(F.col(arr), F.array().cast("array<string>")), lambda e, i: F.struct(
+            F.lit(kind).alias("kind"), (i + 1).cast("int").alias("ordinal"), e.alias("value")))
+    return p.select("source_file", F.inline(F.concat(items("paper.metadata.keywords", "keyword"),
+                                                     items("paper.study.objectives", "objective"))))
 
 
 def methods(p: DataFrame) -> DataFrame:

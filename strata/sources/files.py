@@ -35,9 +35,9 @@ def read_extraction_files(spark: SparkSession, path: str, glob: str = K.EXTRACTI
 def parse_envelope_lines(lines: DataFrame, line_col: str, keep: list[str]) -> DataFrame:
     """Envelope columns of each line, ``_corrupt`` for one that is not JSON, and the columns to keep."""
     fields = [f for f in ENVELOPE.fields if f.name != "_corrupt"]
-    ok = J.is_valid_json(line_col)
-    lines = lines.select(F.when(ok, F.from_json(line_col, T.StructType(fields))).alias("env"),
-                         F.when(~ok, F.col(line_col)).alias("_corrupt"), *keep)
+    lines = lines.select(F.col(line_col).alias("_line"), TX.once(J.is_valid_json(line_col)).alias("_ok"), *keep)
+    lines = lines.select(TX.once(F.when(F.col("_ok"), F.from_json("_line", T.StructType(fields)))).alias("env"),
+                         F.when(~F.col("_ok"), F.col("_line")).alias("_corrupt"), *keep)
     return lines.select(*[F.col(f"env.{f.name}") if f.name != "_corrupt" else F.col("_corrupt")
                           for f in ENVELOPE.fields], *keep)
 

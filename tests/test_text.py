@@ -69,3 +69,26 @@ def test_inject_source(spark):
     assert json.loads(rows[0]) == {"k": 69, "source": "s.pdf"}
     assert json.loads(rows[1]) == {"source": "s.pdf", "v": 1.5, "n": None}
     assert rows[2] is None and rows[3] is None and rows[4] is None and rows[5] is None
+
+
+def test_envelopes_are_parsed_once(spark):
+    """A filter on validity does not copy the parse of the line or of its content into itself."""
+    from strata.operators import extract as X
+    from strata.sources import files as SF
+    good = json.dumps({"content": json.dumps({"metadata": {"keywords": ["b", "a"]}, "study": {"objectives": ["o"]}}),
+                       "metadata": {"source_file": "f"}})
+    bad = ['{"content": ', json.dumps({"content": "{", "metadata": {"source_file": "g"}}), "3", json.dumps({"content": "{}"})]
+    lines = spark.createDataFrame([(x,) for x in [good, *bad]], "value string")
+    env = X.envelope_columns(SF.parse_envelope_lines(lines, "value", []))
+    k = X.keywords(X.with_paper(env.where("valid")))
+    assert k._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
+    assert sorted(tuple(r) for r in k.collect()) == [("f", "keyword", 1, "b"), ("f", "keyword", 2, "a"), ("f", "objective", 1, "o")]
+    assert [r["valid"] for r in env.collect()].count(True) == 2
+    assert [r[0] for r in env.where("_corrupt is not null").select("_corrupt").collect()] == ['{"content": ']
+    only = spark.createDataFrame([("f", None, ["o"]), ("g", ["k"], None)], "source_file string, k array<string>, o array<string>")
+    p = only.selectExpr("source_file", "struct(struct(k as keywords) as metadata, struct(o as objectives) as study) as paper")
+    assert sorted(tuple(r) for r in X.keywords(p).collect()) == [("f", "objective", 1, "o"), ("g", "keyword", 1, "k")]
+
+
+def test_spaces_are_those_that_python_strips():
+    assert set(TX.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
