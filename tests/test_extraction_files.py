@@ -47,3 +47,17 @@ def test_bad_lines_are_quarantined_with_their_place(spark, tmp_path):
     rows = sorted(SF.read_extraction_files(spark, str(tmp_path)).collect(), key=lambda r: r["line_no"])
     assert [(r["line_no"], r["_corrupt"]) for r in rows] == [(1, None), (3, "not json")]
     assert rows[0]["metadata"]["source_file"] == "p.pdf"
+
+
+def test_lines_by_source_are_written_without_a_sort(spark, tmp_path):
+    """A task that writes to a folder for each source keeps their files open; its rows are not sorted, hence not spilled."""
+    from strata.sinks import files as SK
+    from strata.session import apply_conf
+    apply_conf(spark)
+    rows = [(f"{i} {n}", f"s{i}") for n in range(20) for i in range(20)]
+    df = spark.createDataFrame(rows, "line string, source string").coalesce(1)
+    SK.write_lines_by(df, str(tmp_path), "line", "source")
+    for i in (0, 7, 19):
+        got = [r["value"] for r in spark.read.text(f"{tmp_path}/source=s{i}").collect()]
+        assert got == [f"{i} {n}" for n in range(20)]
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 20
