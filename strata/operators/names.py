@@ -14,11 +14,14 @@ length; a task takes pairs of blocks whose lengths can meet, and holds no more t
 * the intersections of two blocks are one matrix product: the k-th character of a bin is a bit, so
   the common bits of two names count it (of characters without a bit at most as many as either
   name has are added);
-* the pairs that are left, some in a thousand, go through the bit-parallel common subsequence all at
-  once, a character of every pair in each step; a pair is dropped when the characters to come
-  cannot reach the bound.
-
-The work grows with the square of the number of names of about one length, at some 20 ns a pair; what is
+* of the pairs that are left, those with characters that have no bit (long names) are compared by
+  their whole histograms;
+* the rest, some in a hundred, go through the bit-parallel common subsequence all at once, a character
+  of every pair in each step; a pair is dropped when the characters to come cannot reach the bound.
+  Names of more than 64 * WORDS characters take it one pair at a time, and lie in small blocks of their own:
+  their pairs cost a thousand times as much, and a large block would give one task millions of them.
+
+The work grows with the square of the number of names of about one length, at some 140 ns a pair; what is
 shuffled are pairs of block names and the few candidates. Of these Python computes the ratio: the
 common subsequence on the whole alphabet first, and only then difflib.
 """
@@ -39,6 +42,7 @@ from ..session import scratch_path
 EPS = 1e-2                # below a bound, for its rounding; what is bounded are whole numbers
 BINS, DEPTH = 36, 14      # character bins, and the occurrences of one that have a bit
 BLOCK = 2048              # names of a block
+LONG_BLOCK = 128          # names of more than 64 * WORDS characters of a block
 TILE = 512                # names of a block that meet the other at once
 PAIRS = 1 << 14           # pairs whose common subsequence is computed at once
 CODES = 256               # characters that the subsequence tells apart: ASCII, others by remainder
@@ -79,6 +83,22 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def has_common_subsequence(a: str, b: str, need: float) -> bool:
+    """Whether the longest common subsequence has ``need`` characters at least; stops when those to come are too few."""
+    masks, full = _masks(a), (1 << len(a)) - 1
+    v = full
+    if need > min(len(a), len(b)):
+        return False
+    for k, ch in enumerate(b):
+        if not k & 63 and len(a) - v.bit_count() + len(b) - k < need:
+            return False
+        m = masks.get(ch)
+        if m:
+            u = v & m
+            v = (v + u | v - u) & full
+    return len(a) - v.bit_count() >= need
+
+
 def ratio_at_least(a: str, b: str, t: float):
     """difflib's ratio (a first) when it reaches t, else None. Bounds are tested in the same
     2.0*M/L arithmetic that difflib uses, so rounding cannot lose a pair."""
@@ -101,7 +121,7 @@ def name_ratio(t: float):
 # ---- bounds over two blocks ----------------------------------------------------------------------
 
 class Block:
-    """Names (rep, clean) as arrays: lengths, character bits, characters as codes, places by character."""
+    """Names (rep, clean) as arrays: lengths, character counts and bits, characters as codes, places by character."""
 
     def __init__(self, reps, names):
         self.reps, self.names = np.asarray(reps, np.int64), names
@@ -111,6 +131,7 @@ class Block:
         counts = np.bincount(row * BINS + flat % BINS, minlength=len(chars) * BINS).reshape(-1, BINS)
         self.bits = (np.arange(DEPTH) < counts[:, :, None]).reshape(len(chars), -1).astype(np.float32)
         self.other = np.maximum(counts - DEPTH, 0).sum(axis=1).astype(np.float32)
+        self.counts = counts.astype(np.int32)
         self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.len) - self.len, self.len)
         self.row, self.code = row, np.where(flat < 128, flat, 128 + flat % (CODES - 128)).astype(np.int64)
 
@@ -144,6 +165,17 @@ def sharing(x: Block, y: Block, rows: slice, t: float):
     return i + rows.start, j
 
 
+def counted(x: Block, y: Block, i, j, t: float):
+    """The pairs (i, j) of :func:`sharing` whose whole histograms, where bits do not tell all, reach the ratio t."""
+    keep = np.ones(len(i), bool)
+    over = np.flatnonzero((x.other[i] > 0) & (y.other[j] > 0))
+    for at in range(0, len(over), PAIRS):
+        part = over[at:at + PAIRS]
+        shared = np.minimum(x.counts[i[part]], y.counts[j[part]]).sum(axis=1)
+        keep[part] = shared >= t / 2 * (x.len[i[part]] + y.len[j[part]]) - EPS
+    return i[keep], j[keep]
+
+
 def in_order(x: Block, y: Block, i, j, t: float):
     """Which of the pairs (i, j), ``x``'s name of at most 64 * WORDS characters, can have a common subsequence
     as long as t needs."""
@@ -193,12 +225,13 @@ def block_pairs(x: Block, y: Block, t: float):
         i, j = sharing(x, y, slice(at, min(at + TILE, len(x.len))), t)
         if x is y:
             i, j = i[i < j], j[i < j]
+        i, j = counted(x, y, i, j, t)
         short = x.len[i] <= 64 * WORDS
         keep = np.zeros(len(i), bool)
         keep[short] = in_order(x, y, i[short], j[short], t)
         for p in np.flatnonzero(~short):
             a, b = x.names[i[p]], y.names[j[p]]
-            keep[p] = common_subsequence(a, b) >= t / 2 * (len(a) + len(b)) - EPS
+            keep[p] = has_common_subsequence(a, b, t / 2 * (len(a) + len(b)) - EPS)
         if keep.any():
             yield i[keep], j[keep]
 
@@ -232,10 +265,12 @@ def candidate_pairs(names: DataFrame, t: float, block: int = BLOCK) -> DataFrame
     spark = names.sparkSession
     name = names.select("rep", "clean")
     path = scratch_path(spark, "name-blocks")
-    n = name.count()
-    (name.withColumn("len", F.length("clean")).where("len > 0")
-         .repartitionByRange(max(1, -(-n // block)), "len", "rep").sortWithinPartitions("len")
-         .write.option("maxRecordsPerFile", block).parquet(path))
+    n, longer = name.agg(F.count(F.lit(1)), F.count_if(F.length("clean") > 64 * WORDS)).first()
+    length, small = F.length("clean"), min(block, LONG_BLOCK)
+    for part, rows, size in ((length.between(1, 64 * WORDS), n - longer, block), (length > 64 * WORDS, longer, small)):
+        (name.where(part).withColumn("len", length)
+             .repartitionByRange(max(1, -(-rows // size)), "len", "rep").sortWithinPartitions("len")
+             .write.mode("append").option("maxRecordsPerFile", size).parquet(path))
     blocks = (spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
               .agg(F.min("len").alias("low"), F.max("len").alias("high")))
     x, y = (blocks.select(*[F.col(c).alias(f"{s}{c}") for c in ("file", "low", "high")]) for s in "xy")
@@ -244,7 +279,7 @@ def candidate_pairs(names: DataFrame, t: float, block: int = BLOCK) -> DataFrame
             & (F.col("yhigh") * reach + EPS >= F.col("xlow")))
     # one row for each pair of blocks, dealt out so that neighbours, alike in length, come to different tasks
     todo = x.join(y, meet).select(F.col("xfile").alias("x"), F.col("yfile").alias("y"))
-    tasks = max(spark.sparkContext.defaultParallelism * 4, -(-n // block))
+    tasks = max(spark.sparkContext.defaultParallelism * 4, -(-n // block) + -(-longer // small))
     pairs = todo.repartition(tasks, "x", "y").mapInPandas(_kernel(path, t), "a long, b long")
     return (pairs.join(name.select(F.col("rep").alias("a"), F.col("clean").alias("name_a")), "a")
             .join(name.select(F.col("rep").alias("b"), F.col("clean").alias("name_b")), "b")

@@ -152,3 +152,25 @@ def test_names_in_several_blocks_lose_no_pair(spark):
     want = {(a, b) for b in range(len(names)) for a in range(b) if SequenceMatcher(None, names[a], names[b]).ratio() >= 0.85}
     assert want <= got
     assert "MapInPandas" in N.candidate_pairs(df, 0.85)._jdf.queryExecution().toString()
+
+
+def test_long_names_meet_in_small_blocks_after_their_whole_histograms(spark, monkeypatch):
+    """Long names of repeated words share the first occurrences of most characters, but few whole histograms."""
+    from strata.operators import names as N
+    words = random_names(3, 60, 3)
+    names = [w[:6] * 90 for w in words if len(w) >= 6] + ["abcd efgh " * 60, "abcd efgh " * 60 + "ij"]
+    x = N.Block(range(len(names)), names)
+    calls, plain = [], N.has_common_subsequence
+    monkeypatch.setattr(N, "has_common_subsequence", lambda a, b, need: calls.append(1) or plain(a, b, need))
+    got = {p for i, j in N.block_pairs(x, x, 0.85) for p in zip(i.tolist(), j.tolist())}
+    want = {(a, b) for b in range(len(names)) for a in range(b)
+            if N.common_subsequence(names[a], names[b]) >= 0.425 * (len(names[a]) + len(names[b])) - N.EPS}
+    assert got == want and (len(names) - 2, len(names) - 1) in want
+    assert len(calls) < 0.1 * len(names) ** 2 / 2
+    df = spark.createDataFrame(list(enumerate(["short name", *names])), "rep long, clean string")
+    paths = []
+    monkeypatch.setattr(N, "scratch_path", lambda s, n, of=N.scratch_path: paths.append(of(s, n)) or paths[-1])
+    monkeypatch.setattr(N, "LONG_BLOCK", 16)
+    assert N.candidate_pairs(df, 0.85).count() >= len(want)
+    files = spark.read.parquet(paths[0]).groupBy(F.input_file_name()).agg(F.max("len").alias("long"), F.count("rep").alias("n"))
+    assert files.where("long > 512 and n > 16").isEmpty()
