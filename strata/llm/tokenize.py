@@ -5,19 +5,72 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a worker keeps the ids of before it starts anew (memory bound only).
-KEPT_WORDS = 800_000
-#: Blanks that this vocabulary drops; str.split() knows four more, which are ordinary here.
+#: Distinct pieces that a worker keeps the ids of before it starts anew (memory bound only).
+KEPT_PIECES = 800_000
+#: Bytes of texts that are cut at once.
+GROUP = 4 << 20
+#: Blanks that this vocabulary drops; the byte classes below know six others.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters beyond ASCII that are composed already and whose lower case is one letter of the same
 #: range: Latin-1 and Latin Extended-A, but for the dotted capital I.
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-#: Words that are cut into pieces here.
-PLAIN = re.compile(f"[!-~{_LATIN}]+")
-#: Pieces of such a word in lower case (the vocabulary's pattern; fixed values).
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+#: Classes of bytes. A word with a byte of no class goes through the whole library.
+BLANK, LETTER, DIGIT, SIGN, NONE = range(5)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, NONE, np.uint8)
+    out[0x21:0x7F] = SIGN
+    out[[0x20, *range(0x09, 0x0E)]] = BLANK
+    out[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    out[0x30:0x3A] = DIGIT
+    return out
+
+
+_KIND = _kinds()
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Lower case of the letters of two bytes, 0 for other characters.
+_LATIN_LOWER = np.array([ord(chr(c).lower()[0]) if re.match(f"[{_LATIN}]", chr(c)) else 0 for c in range(0x180)], np.uint16)
+_Q = ord("'")
+
+
+def cut(raw: np.ndarray):
+    """Pieces of UTF-8 bytes that end in three blanks (the vocabulary's pattern on each blank-separated
+    word: a contraction, a run of letters, a digit, or a run of other signs; fixed values).
+
+    Returns their bytes one after the other, letters in lower case, the places where they start in ``raw``
+    and in those bytes, and the numbers of those that are whole words as they are, for the library."""
+    kind, low = _KIND[raw], _LOWER[raw]
+    two = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    lower = _LATIN_LOWER[(raw[two] & 0x1F).astype(np.uint16) << 6 | raw[two + 1] & 0x3F]
+    two, lower = two[lower > 0], lower[lower > 0]
+    kind[two] = kind[two + 1] = LETTER
+    low[two], low[two + 1] = 0xC0 | lower >> 6, 0x80 | lower & 0x3F
+    before = np.concatenate([np.array([BLANK], np.uint8), kind[:-1]])
+    text = kind != BLANK
+    start = text & ((kind != before) | (kind == DIGIT))
+    q = np.flatnonzero(start & (raw == _Q))
+    a, b = low[q + 1], low[q + 2]
+    one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+    more = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    q, end = q[one | more], (q + np.where(one, 2, 3))[one | more]
+    start[q + 1] = False
+    start[end] = text[end]
+    begin = np.flatnonzero((kind == NONE) | (raw == ord("<")) & (np.roll(raw, -1) == ord("|")))
+    if len(begin):
+        words = np.flatnonzero(text & (before == BLANK))
+        at = np.unique(np.searchsorted(words, begin, "right") - 1)
+        begin, end = words[at], np.flatnonzero(~text & (before != BLANK))[at]
+        edge = np.zeros(len(raw), np.int8)
+        edge[begin], edge[end] = 1, -1
+        whole = np.cumsum(edge, dtype=np.int8) > 0
+        start[whole], low[whole] = False, raw[whole]
+        start[begin] = True
+    starts = np.flatnonzero(start)
+    return low[text], starts, (np.cumsum(text) - 1)[starts], np.searchsorted(starts, begin)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,8 +89,9 @@ def _byte_symbols() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts. The vocabulary drops white space and never merges across it, so a
     text's ids are those of its blank-separated words, and a word's ids those of its pieces.
-    Words of ASCII and simple Latin letters are cut into pieces here; each distinct piece is
-    merged once by the library's model. All other words go through the whole library."""
+    Texts are cut into pieces many at a time as arrays of bytes, each distinct piece of them is looked up
+    once, and each new one merged once by the library's model. Words of other than ASCII
+    and simple Latin letters go through the whole library."""
 
     def __init__(self, path: str | None = None):
         import json
@@ -54,21 +108,18 @@ class Encoder:
         # the model alone: its input is pieces in byte symbols, between single spaces
         spec.update(normalizer=None, pre_tokenizer={"type": "WhitespaceSplit"}, added_tokens=[])
         self.model = Tokenizer.from_str(json.dumps(spec))
-        self.symbols = _byte_symbols()
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.symbols = _byte_symbols() | {0x20: " "}  # no piece holds a space
+        self.pieces: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _merge(self, pieces: list[str]) -> None:
+    def _merge(self, pieces: list[bytes]) -> None:
         """Learn the ids of new pieces."""
         for at in range(0, len(pieces), 4096):
             part = pieces[at:at + 4096]
-            line = " ".join(part)
-            if not line.isascii():
-                symbols = self.symbols | {0x20: " "}  # no piece holds a space
-                line = line.encode().decode("latin-1").translate(symbols)
+            line = b" ".join(part)
+            line = line.decode() if line.isascii() else line.decode("latin-1").translate(self.symbols)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
             cuts = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist()
             raw = ids.tobytes()
@@ -77,42 +128,48 @@ class Encoder:
             if len(cuts) != len(part) or cuts[-1] != len(raw):
                 raise ValueError("a piece does not end in an end token")
 
-    def _learn(self, new: set[str]) -> None:
-        """Learn the ids of new words."""
-        cut, known = {}, self.known
-        plain, find = PLAIN.fullmatch, PIECE.findall
-        for w in new:
-            if plain(w) and "<|" not in w:
-                cut[w] = find(w.lower())
-            else:
-                known[w] = self._ids(w).tobytes()
-        self._merge(list(set().union(*cut.values()).difference(self.pieces)))
-        get = self.pieces.__getitem__
-        for w, ps in cut.items():
-            known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def split(self, text: str) -> list[str] | None:
-        """Words, or None for a text that must be encoded whole."""
-        if any(c in text for c in _ODD):
-            return None
-        return text.split()
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts that are cut at once."""
+        data, starts, at, whole = cut(np.frombuffer(b" ".join([*texts, b"  "]), np.uint8))
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        at = np.append(at, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        keys, known = found.dictionary.to_pylist(), self.pieces
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        for k in np.unique(found.indices.to_numpy()[whole]).tolist():  # such a word is never equal to a piece
+            if keys[k] not in known:
+                known[keys[k]] = self._ids(keys[k].decode()).tobytes()
+        self._merge([k for k in keys if k not in known])
+        ids = pa.array(map(known.__getitem__, keys), pa.large_binary()).take(found.indices)
+        _, ends, raw = ids.buffers()
+        first = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        ends = np.frombuffer(ends, np.int64)[np.searchsorted(starts, first)] // 4
+        raw = np.frombuffer(raw, np.uint32) if ends[-1] else np.zeros(0, np.uint32)
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        lists = [self.split(t or "") for t in texts]
-        known = self.known
-        if len(known) > KEPT_WORDS or len(self.pieces) > KEPT_WORDS:
-            known.clear()
-            self.pieces.clear()
-        self._learn(set().union(*[ws for ws in lists if ws]).difference(known))
-        out = []
-        for t, ws in zip(texts, lists):
-            if ws is None:
-                out.append(self._ids(t))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32))
+        out, group, size = [None] * len(texts), [], 0
+        for n, t in enumerate(texts):
+            t = t or ""
+            if any(c in t for c in _ODD):
+                out[n] = self._ids(t)
+                continue
+            group.append((n, t.encode()))
+            size += len(group[-1][1])
+            if size >= GROUP:
+                self._fill(out, group)
+                group, size = [], 0
+        if group:
+            self._fill(out, group)
         return out
 
+    def _fill(self, out: list, group: list) -> None:
+        for (n, _), ids in zip(group, self._group([raw for _, raw in group])):
+            out[n] = ids
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -214,3 +214,15 @@ def test_encoder_equals_the_library():
             "a\x1cb c", "", " ", "word " * 3000, "%%%," * 50, "ÀÉŸž, ×÷"]
     for text, ids in zip(odd, enc.encode(odd), strict=True):
         assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_learns_pieces_and_cuts_texts_in_groups(monkeypatch):
+    from strata.llm import tokenize
+    enc = tokenize.Encoder()
+    enc.encode(["Alpha, ALPHA. (alpha) Él's 'll 42", None, "  ", "漢字 x<|y alpha"])
+    assert set(enc.pieces) == {b"alpha", b",", b".", b"(", b")", "él".encode(), b"'s", b"'ll", b"4", b"2", "漢字".encode(), b"x<|y"}
+    monkeypatch.setattr(tokenize, "GROUP", 20)
+    monkeypatch.setattr(tokenize, "KEPT_PIECES", 5)
+    texts = [f"w{n} It'S {n}' d x ''ve\tÀ{n}" * (n % 4) for n in range(50)]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids, text
