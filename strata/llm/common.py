@@ -38,6 +38,19 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession):
+    """Shuffle files of a query that runs within are removed when it is done; the session's setting is as before
+    after it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

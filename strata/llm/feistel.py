@@ -4,9 +4,11 @@ Every token sequence gets a running number (its partition's offset plus its plac
 global slot: a keyed Feistel permutation of the smallest even number of bits that holds the
 count, walked along its cycle until the result is below the count. So the training order is a
 seeded shuffle of all sequences that needs no sort of random keys, and any slot's number can be
-computed alone. Sequences are range partitioned by slot and written in slot order: a shard is a
+computed alone. Sequences are partitioned by shard and written in slot order: a shard is a
 run of slots, one record of fixed stride each, so slot s is in shard s // per_shard at byte
-(s % per_shard) * stride, reads are sequential, and a reader resumes at any slot.
+(s % per_shard) * stride, reads are sequential, and a reader resumes at any slot. The shards are
+written in a few passes over the staged sequences, each of which shuffles those of its own run of
+shards; Spark removes a pass's shuffle files when it is done, so no more than one pass's lie on disk.
 
 A record is doc_id (int64), piece (int32), length (int32) and ``seq_len`` token ids (uint16,
 zero after ``length``), all little endian. A null doc_id is
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from strata.session import scratch_path
 
-from .common import arrow_batches, staged
+from .common import arrow_batches, shuffle_files_removed, staged
 from .packing import END
 
 SEQ_LEN = 512
 PER_SHARD = 16384
 ROUNDS = 6
+PASSES = 3
 HEADER = 16
 NULL_ID = -(1 << 63)
 
@@ -102,7 +106,7 @@ def materialise(documents: DataFrame, folder: str, key: int = 20240229, seq_len:
         offsets[p], count = count, count + sizes[p]
 
     @F.pandas_udf("long")
-    def slot(at):
+    def slots(at):
         at = at.to_numpy()
         base = np.array([offsets[p] for p in (at >> 33).tolist()], np.int64)
         return _series(permute(base + (at & ((1 << 33) - 1)), count, key))
@@ -133,12 +137,21 @@ def materialise(documents: DataFrame, folder: str, key: int = 20240229, seq_len:
                 n += 1
         if out is not None:
             yield close()
+    slot = slots.asNondeterministic()  # else the filter on its result would compute it once more
     ordered = rows.withColumn("slot", slot("at")).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    parts = max(1, -(-count // per_shard))
-    return staged(ordered.repartitionByRange(parts, "shard").sortWithinPartitions("slot").select(
-        "slot", "doc_id", "piece", "ids").mapInArrow(write, "shard long, slots long, bytes long"), "order-manifest")
-
-
+    shards = max(1, -(-count // per_shard))
+    run = -(-shards // PASSES)
+    manifest = []
+    with shuffle_files_removed(spark):
+        for first in range(0, shards, run):
+            last = min(first + run, shards)
+            own = ordered.where(F.col("shard").between(first, last - 1)) if run < shards else ordered
+            own = own.repartitionById(last - first, F.expr(f"cast(shard - {first} as int)")).sortWithinPartitions("slot")
+            manifest.append(staged(own.select("slot", "doc_id", "piece", "ids").mapInArrow(write, _WRITTEN), "order-manifest"))
+    return reduce(DataFrame.unionAll, manifest)
+
+
+_WRITTEN = "shard long, slots long, bytes long"
 _MANIFEST = pa.schema([("shard", pa.int64()), ("slots", pa.int64()), ("bytes", pa.int64())])
 
 

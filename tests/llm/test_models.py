@@ -226,3 +226,38 @@ def test_encoder_learns_pieces_and_cuts_texts_in_groups(monkeypatch):
     texts = [f"w{n} It'S {n}' d x ''ve\tÀ{n}" * (n % 4) for n in range(50)]
     for text, ids in zip(texts, enc.encode(texts), strict=True):
         assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_training_order_in_passes_leaves_no_shuffle_behind(docs, library, spark, tmp_path):
+    """Each pass shuffles its own shards, the manifest has all, and records are those of one pass."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, found = spark.conf.get(key), []
+    for passes in (1, 4):
+        feistel.PASSES, was = passes, feistel.PASSES
+        try:
+            folder = str(tmp_path / f"p{passes}")
+            manifest = feistel.materialise(docs, folder, seq_len=64, per_shard=50).collect()
+        finally:
+            feistel.PASSES = was
+        got = sorted(tuple(r) for r in feistel.read_shards(spark, folder, 64, 50).drop("doc_id", "piece").collect())
+        assert sorted(r.shard for r in manifest) == list(range(-(-len(got) // 50))) and sum(r.slots for r in manifest) == len(got)
+        assert [r[0] for r in got] == list(range(len(got)))
+        found.append(sorted(r[1:] for r in got))
+    assert found[0] == found[1] and spark.conf.get(key) == before
+
+
+def test_shuffle_files_of_a_finished_query_are_removed(spark, tmp_path):
+    import os
+
+    from strata.llm.common import shuffle_files_removed
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for d in disk.localDirs() for _, _, names in os.walk(d.getPath()) for f in names if f.endswith(".data")}
+    query = spark.range(1000).repartition(4, "id")
+    query.write.parquet(str(tmp_path / "kept"))
+    before = shuffled()
+    assert before
+    with shuffle_files_removed(spark):
+        spark.range(1000).repartition(5, "id").write.parquet(str(tmp_path / "removed"))
+    assert shuffled() <= before
