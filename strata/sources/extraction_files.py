@@ -25,7 +25,7 @@ from .. import constants as K
 FORMAT = "strata_extraction_files"
 SCHEMA = "file_name string, line_no long, line string"
 PARTITION_BYTES = 64 << 20
-FILE_BYTES = 1 << 20            # what opening a file counts as, at least
+FILE_BYTES = 1 << 15            # what opening a file counts as, at least: a task takes up to 2,048 small files
 ROWS = 1024                     # lines of one Arrow batch
 ATTEMPTS = "_attempts"
 
@@ -54,7 +54,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
         files, root = _open(self.path)
-        found = sorted((f.path, f.size or 0) for f in files.get_file_info(fs.FileSelector(root))
+        found = sorted((f.base_name, f.size or 0) for f in files.get_file_info(fs.FileSelector(root))
                        if f.is_file and fnmatch.fnmatchcase(f.base_name, self.glob))
         out, size = [], 0
         for name, n in found:
@@ -66,11 +66,10 @@ class _Reader(DataSourceReader):
         return [_Files(x) for x in out] or [_Files([])]
 
     def read(self, partition):
-        files, _ = _open(self.path)
+        files, root = _open(self.path)
         rows = []
-        for name in partition.names:
-            base = name.rsplit("/", 1)[-1]
-            with files.open_input_stream(name) as raw:
+        for base in partition.names:
+            with files.open_input_stream(f"{root}/{base}") as raw:
                 for n, line in enumerate(io.BufferedReader(raw), 1):
                     text = line.decode("utf-8", "replace").rstrip("\r\n")
                     if text.strip():

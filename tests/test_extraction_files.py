@@ -61,3 +61,16 @@ def test_lines_by_source_are_written_without_a_sort(spark, tmp_path):
         got = [r["value"] for r in spark.read.text(f"{tmp_path}/source=s{i}").collect()]
         assert got == [f"{i} {n}" for n in range(20)]
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 20
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Tasks grow with the bytes and by the thousand files, not by the dozen; a large file still ends a partition."""
+    for i in range(300):
+        (tmp_path / f"{i:03}_gemini.jsonl").write_text(f"line {i}\n\nlast {i}\n")
+    few = EF._Reader(str(tmp_path), "*_gemini.jsonl").partitions()
+    assert len(few) == 1 and len(few[0].names) == 300
+    assert read(spark, str(tmp_path)) == sorted((f"{i:03}_gemini.jsonl", n, f"{w} {i}") for i in range(300) for n, w in ((1, "line"), (3, "last")))
+    with open(tmp_path / "1000_gemini.jsonl", "wb") as f:
+        f.truncate(EF.PARTITION_BYTES)
+    parts = EF._Reader(str(tmp_path), "*_gemini.jsonl").partitions()
+    assert len(parts) == 2 and sorted(n for p in parts for n in p.names) == sorted(p.name for p in tmp_path.iterdir())
