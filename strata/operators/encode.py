@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,50 +55,70 @@ class _Buckets(dict):
 _KEPT: dict = {}             # dim -> its buckets
 
 
+@lru_cache(maxsize=1)
+def _word_chars() -> np.ndarray:
+    """Whether a code point belongs to a token, for every one."""
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 0  # surrogates are in no text
+    chars = np.zeros(len(points), dtype=bool)
+    for run in _FIND(points.tobytes().decode("utf-32-le")):
+        chars[run.start():run.end()] = True
+    return chars
+
+
+def _long_text(text: str, bucket, dim: int) -> np.ndarray:
+    """Counts of a text that is cut FLUSH_TOKENS tokens at a time."""
+    counts = np.zeros(dim)
+    found = _FIND(text.lower())
+    while buckets := [bucket(x.group()) for x in islice(found, FLUSH_TOKENS)]:
+        counts += np.bincount(buckets, minlength=dim)
+    return counts
+
+
+def _texts(texts, bucket, dim: int) -> np.ndarray:
+    """Counts of several texts (an Arrow array without NULLs), cut in one go: joined by NULs, all other
+    characters that belong to no token become spaces, and a token's row is the number of NULs before it."""
+    n, sep = len(texts), pa.scalar("\0", texts.type)
+    join = lambda x: pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x), sep)[0].as_py()
+    joined = join(texts)
+    if joined.count("\0") >= n:  # as good a separator within a text
+        joined = join(pc.replace_substring(texts, "\0", " "))
+    points = np.frombuffer(joined.lower().encode("utf-32-le"), dtype="<u4")
+    word = _word_chars()[points]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    rows = np.searchsorted(np.flatnonzero(points == 0), np.flatnonzero(first))
+    tokens = np.where(word, points, np.uint32(32)).tobytes().decode("utf-32-le").split()
+    flat = rows * dim + np.fromiter(map(bucket, tokens), dtype=np.int64, count=len(tokens))
+    counts = np.zeros(n * dim)
+    for at in range(0, len(flat), FLUSH_TOKENS):
+        counts += np.bincount(flat[at:at + FLUSH_TOKENS], minlength=n * dim)
+    return counts.reshape(n, dim)
+
+
 def encode_matrix(texts, dim: int = DEFAULT_DIM):
-    """Count matrix (len(texts) x dim) of a batch plus its NULL mask. The buckets of FLUSH_TOKENS tokens
-    at a time, of one text or of many, are added by one ``np.bincount`` over row*dim+bucket, so what is
-    held does not grow with the texts."""
+    """Count matrix (len(texts) x dim) of a batch (an Arrow array or strings) plus its NULL mask. Texts of
+    some FLUSH_TOKENS tokens are cut together, a longer one by itself in parts, so what is held does not
+    grow with the texts."""
     bucket = _KEPT.setdefault(dim, _Buckets(dim)).__getitem__
-    m = np.zeros(len(texts) * dim)
-    nulls = np.zeros(len(texts), dtype=bool)
-    rows, buckets, first = [], [], 0
-
-    def flush(last):
-        flat = np.asarray(rows, dtype=np.int64) * dim + np.asarray(buckets, dtype=np.int64)
-        m[first * dim:(last + 1) * dim] += np.bincount(flat - first * dim, minlength=(last + 1 - first) * dim)
-        rows.clear()
-        buckets.clear()
-    for r, t in enumerate(texts):
-        if t is None:
-            nulls[r] = True
-            continue
-        found = _FIND(t.lower())
-        while True:
-            part = [bucket(x.group()) for x in islice(found, FLUSH_TOKENS - len(buckets))]
-            buckets += part
-            rows += [r] * len(part)
-            if len(buckets) < FLUSH_TOKENS:
-                break
-            flush(r)
-            first = r
-    if buckets:
-        flush(len(texts) - 1)
-    return m.reshape(len(texts), dim), nulls
-
-
-class _Texts:
-    """The texts of an Arrow array, each as a Python string only while it is read."""
-
-    def __init__(self, column):
-        self.column = column
-
-    def __len__(self):
-        return len(self.column)
-
-    def __iter__(self):
-        for at in range(0, len(self.column), 64):
-            yield from self.column.slice(at, 64).to_pylist()
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    nulls = column.is_null().to_numpy(zero_copy_only=False)
+    column = pc.fill_null(column, "")
+    m = np.zeros((len(column), dim))
+    if not len(column):
+        return m, nulls
+    ends = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64) + 1)
+    at = 0
+    while at < len(column):  # at most 2 * FLUSH_TOKENS bytes with their separators, or one text
+        before = ends[at - 1] if at else 0
+        end = int(np.searchsorted(ends, before + 2 * FLUSH_TOKENS, side="right"))
+        if end <= at:
+            end = at + 1
+            m[at] = _long_text(column[at].as_py(), bucket, dim)
+        else:
+            m[at:end] = _texts(column.slice(at, end - at), bucket, dim)
+        at = end
+    return m, nulls
 
 
 def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
@@ -107,7 +129,7 @@ def hashed_bow(text_col, dim: int = DEFAULT_DIM) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def _encode(s: pa.Array) -> pa.Array:
-        m, nulls = encode_matrix(_Texts(s), dim)
+        m, nulls = encode_matrix(s, dim)
         offsets = pa.array(np.arange(0, (len(m) + 1) * dim, dim, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(nulls))
 

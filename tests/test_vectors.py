@@ -27,6 +27,22 @@ def test_encoder_holds_no_more_for_longer_texts(monkeypatch):
     assert sum(held) == 300001 and max(held) <= EN.FLUSH_TOKENS
 
 
+def test_encoder_cuts_a_batch_at_once_as_each_text_alone(monkeypatch):
+    """Short texts are cut together: nulls, NULs, letters that grow in lower case and words at both ends stay their own."""
+    texts = ["Ab", None, "ab", "", "x\0y", "\0", "İstanbul ΣΑΣ", "ΟΔΟΣ", "Σ", "²½ Ⅷ_𝟘 \u4e00-\u0307e", "a\u00adb", "\U00010400 z"] * 30
+    want = np.zeros((len(texts), 16))
+    for r, t in enumerate(texts):
+        for token in EN._FIND((t or "").lower()):
+            want[r, EN.token_bucket(token.group(), 16)] += 1
+    matches = []
+    find = EN._FIND
+    EN._word_chars()
+    monkeypatch.setattr(EN, "_FIND", lambda t: (matches.append(t), find(t))[1])
+    got, nulls = EN.encode_matrix(texts, 16)
+    assert np.array_equal(got, want) and nulls.tolist() == [t is None for t in texts]
+    assert not matches  # no text was gone through match by match
+
+
 def test_model_slot_batches_and_lets_nulls_through(spark):
     def make():
         def predict(texts):
